@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, packing, spans
+from . import encoding, near, packing, spans
 from ._common import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    memories = near.memory_contents(table(spark, d, "chunks"), table(spark, d, "retrieved"))
+    return near.near_pairs(memories, "memory_id", "content", near.SIMILAR, near.LEAST).select(F.col("id_a").alias("memory_id_a"), F.col("id_b").alias("memory_id_b"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    memories = near.memory_contents(table(spark, d, "chunks"), table(spark, d, "retrieved"))
+    return near.near_groups(memories, "memory_id", "content", near.SIMILAR, near.LEAST).withColumnRenamed("id", "memory_id")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.token_ids(table(spark, d, "documents"))
 
@@ -36,6 +46,8 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
