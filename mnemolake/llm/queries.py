@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, near, packing, spans
+from . import encoding, near, overlap, packing, spans
 from ._common import table
 
 
@@ -21,6 +21,15 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return near.near_groups(memories, "memory_id", "content", near.SIMILAR, near.LEAST).withColumnRenamed("id", "memory_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = overlap.cross_split_pairs(overlap.split_items(table(spark, d, "samples"), table(spark, d, "split_manifests")))
+    return pairs.select(F.least("train_id", "eval_id").alias("question_id_a"), F.greatest("train_id", "eval_id").alias("question_id_b"), "field").where("question_id_a <> question_id_b").distinct()
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, d, "samples"), table(spark, d, "split_manifests"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.token_ids(table(spark, d, "documents"))
 
@@ -48,6 +57,8 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
