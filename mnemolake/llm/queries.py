@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, near, overlap, packing, spans
+from . import encoding, near, overlap, packing, spans, vectors
 from ._common import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = vectors.neighbour_pairs(vectors.both_collections(table(spark, d, "chunks"), table(spark, d, "embedding_cache")))
+    return pairs.select(F.split("grp", ":")[0].alias("collection"), "id_a", "id_b").distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     memories = near.memory_contents(table(spark, d, "chunks"), table(spark, d, "retrieved"))
     return near.near_pairs(memories, "memory_id", "content", near.SIMILAR, near.LEAST).select(F.col("id_a").alias("memory_id_a"), F.col("id_b").alias("memory_id_b"))
@@ -55,6 +60,7 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p5_found": p5_found,
