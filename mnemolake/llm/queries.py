@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, near, overlap, packing, spans, vectors
+from . import defects, encoding, near, overlap, packing, spans, vectors
 from ._common import table
 
 
@@ -16,6 +16,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.split("grp", ":")[0].alias("collection"), "id_a", "id_b").distinct()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.defects(table(spark, d, "documents"), table(spark, d, "samples"), table(spark, d, "reader_outputs"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     memories = near.memory_contents(table(spark, d, "chunks"), table(spark, d, "retrieved"))
     return near.near_pairs(memories, "memory_id", "content", near.SIMILAR, near.LEAST).select(F.col("id_a").alias("memory_id_a"), F.col("id_b").alias("memory_id_b"))
@@ -61,6 +65,7 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p5_found": p5_found,
