@@ -26,11 +26,14 @@ from pyspark.sql.window import Window
 from ._common import heads_of, materialize, signed
 
 #: Vectors the routing tree is fitted on at most, vectors of a shard aimed at, sample vectors of a leaf at least.
-SAMPLE, SHARD, LEAF_SAMPLE = 32_768, 4_000, 24
+SAMPLE, SHARD, LEAF_SAMPLE = 32_768, 8_000, 24
 #: Vectors of a bucket, vantage points tried for a split.
-BUCKET, TRIED = 256, 24
-#: Part of the radius by which the triangle inequality is relaxed to.
-FACTOR = 0.06
+BUCKET, TRIED = 256, 48
+#: Part of the radius that the triangle inequality is relaxed to: between shards, where a visit costs a copy of the vector, and
+#: within one, where it costs a comparison only, LOCAL times as much (one at most).
+FACTOR, LOCAL = 0.045, 1.5
+#: Unit vectors are kept as 16-bit numbers of this scale: a cosine is off by about 1e-5 at most.
+SCALE = 32_767
 DIMENSION, NEIGHBOURS, LEAST = 64, 5, 0.85
 #: Decimals of a cosine; equal ones are ties.
 DECIMALS = 6
@@ -68,7 +71,7 @@ def parse_vector(text: str | None) -> list[float] | None:
 def usable_vectors(df: DataFrame, grp: str, ident: str, vector: str, time: str, dimension: int = DIMENSION) -> DataFrame:
     """(grp, id, at, cls, vec) of the usable rows: group and id not null, exactly `dimension` finite numbers, not all zero.
 
-    vector is an array of numbers or a JSON text. vec: the unit vector as 32-bit floats. cls: a key of its direction.
+    vector is an array of numbers or a JSON text. vec: the unit vector as 16-bit numbers. cls: a key of its direction.
     """
     source = df.select(F.col(grp).cast("string").alias("grp"), F.col(ident).cast("string").alias("id"), F.col(time).cast("timestamp").alias("at"), F.col(vector).alias("v")).where("grp is not null and id is not null and v is not null")
 
@@ -85,11 +88,17 @@ def usable_vectors(df: DataFrame, grp: str, ident: str, vector: str, time: str,
                 matrix = v.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
             ok, x = unit(matrix)
             take = pa.array(rows[ok])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), pa.array(_keys(x)), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], ["grp", "id", "at", "cls", "vec"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), pa.array(_keys(x)), pa.array([r.tobytes() for r in np.rint(x * SCALE).astype(np.int16)], pa.binary())], ["grp", "id", "at", "cls", "vec"])
 
     return source.mapInArrow(run, "grp string, id string, at timestamp, cls bigint, vec binary")
 
 
+def unpacked(vecs: list[bytes]) -> np.ndarray:
+    """The unit vectors (32-bit floats) of packed ones."""
+    x = np.frombuffer(b"".join(vecs), np.int16).reshape(len(vecs), -1).astype(np.float32)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 # ---------------------------------------------------------------- trees
 
 
@@ -168,7 +177,7 @@ def _best(q: np.ndarray, x: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
     return order[s >= last]
 
 
-def search_shard(indexed: np.ndarray, asking: np.ndarray, own: np.ndarray, least: float, margin: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_shard(indexed: np.ndarray, asking: np.ndarray, least: float, margin: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, cosine): rows of `asking` that see each other, each pair in both directions; only those that are among the k best of i here.
 
     indexed: rows of asking that belong to the shard.
@@ -209,7 +218,8 @@ def neighbour_pairs(vectors: DataFrame, k: int = NEIGHBOURS, least: float = LEAS
     """
     if not 0 < factor <= 1 or not -1 < least <= 1 or k < 1:
         raise ValueError("factor must be in (0, 1], least in (-1, 1], k at least 1")
-    margin = factor * math.sqrt(2 - 2 * least)
+    radius = math.sqrt(2 - 2 * least)
+    margin, local = factor * radius, min(1.0, LOCAL * factor) * radius
     members = vectors.groupBy("grp", "id").agg(F.min(F.struct("at", "cls")).alias("m")).select("grp", "id", F.col("m.cls").alias("cls"))
     members = materialize(members, "vector-members").withColumn("key", F.struct("grp", "cls"))
     heads = heads_of(members, "key", "id", k + 1).groupBy("grp", "cls").agg(F.array_sort(F.collect_list("id")).alias("ids"))
@@ -219,22 +229,24 @@ def neighbour_pairs(vectors: DataFrame, k: int = NEIGHBOURS, least: float = LEAS
     shards = max(1, math.ceil(n / SHARD))
     part = min(1.0, SAMPLE / max(n, 1))
     rows = classes.where(F.pmod(F.xxhash64("grp", "cls"), F.lit(1 << 20)) < int(part * (1 << 20))).select("vec").limit(2 * SAMPLE).collect()
-    sample = np.frombuffer(b"".join(r.vec for r in rows), np.float32).reshape(len(rows), -1) if rows else np.zeros((0, 1), np.float32)
+    sample = unpacked([r.vec for r in rows]) if rows else np.zeros((0, 1), np.float32)
     routing = classes.sparkSession.sparkContext.broadcast(Tree(sample, max(LEAF_SAMPLE, math.ceil(len(sample) / shards)), margin))  # at most SAMPLE / LEAF_SAMPLE points
 
     def route(batches):
         tree = routing.value
         for batch in batches:
             raw = batch.column(2)
-            x = np.frombuffer(b"".join(raw.to_pylist()), np.float32).reshape(batch.num_rows, -1)
+            if not batch.num_rows:
+                continue
+            x = unpacked(raw.to_pylist())
             for leaf, at, own in tree.visits(x, margin):
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), leaf, np.int32)), batch.column(0).take(take), batch.column(1).take(take), pa.array(own), raw.take(take)], ["shard", "grp", "cls", "own", "vec"])
 
     def search(table: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float32).reshape(table.num_rows, -1)
+        x = unpacked(table.column("vec").to_pylist())
         own = table.column("own").to_numpy()
-        i, j, s = search_shard(np.flatnonzero(own), x, own, least, margin, k) if own.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        i, j, s = search_shard(np.flatnonzero(own), x, least, local, k) if own.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         cls = table.column("cls").to_numpy()
         return pa.table({"grp": table.column("grp").take(pa.array(i)), "q": cls[i], "x": cls[j], "s": s})
 
