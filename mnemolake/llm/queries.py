@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import defects, encoding, near, overlap, packing, spans, vectors
+from . import defects, encoding, near, overlap, packing, pieces, spans, vectors
 from ._common import table
 
 
@@ -30,6 +30,14 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return near.near_groups(memories, "memory_id", "content", near.SIMILAR, near.LEAST).withColumnRenamed("id", "memory_id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.split_items(table(spark, d, "chunks"), table(spark, d, "samples"), table(spark, d, "size_limits"))
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.item_pieces(table(spark, d, "chunks"), table(spark, d, "samples"), table(spark, d, "size_limits"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = overlap.cross_split_pairs(overlap.split_items(table(spark, d, "samples"), table(spark, d, "split_manifests")))
     return pairs.select(F.least("train_id", "eval_id").alias("question_id_a"), F.greatest("train_id", "eval_id").alias("question_id_b"), "field").where("question_id_a <> question_id_b").distinct()
@@ -68,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p6_ids": p6_ids,
