@@ -68,7 +68,9 @@ def parse_date(c: Column) -> Column:
 
 
 def age_days(now: Column, then: Column) -> Column:
-    return F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(then)) / F.lit(DAY * 1e6))
+    """Days from then to now, at least 0; null if either is."""
+    days = (F.unix_micros(now) - F.unix_micros(then)) / F.lit(DAY * 1e6)
+    return F.when(days < 0, F.lit(0.0)).otherwise(days)
 
 
 def recency(then: Column, now: Column) -> Column:

@@ -28,7 +28,8 @@ def run_systems(samples: DataFrame, systems: list[str], k: int = 3, off: dict[st
     """
     off = off or {}
     names = [*systems, *off]
-    cells = samples.select("sample_id", "query", "target_scope", "superseded", "initial", "candidates", F.explode(F.array(*[F.lit(n) for n in names])).alias("system_name"))
+    n = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = samples.repartition(n, "sample_id").select("sample_id", "query", "target_scope", "superseded", "initial", "candidates", F.explode(F.array(*[F.lit(n) for n in names])).alias("system_name"))
 
     def memory(r: dict, initial: bool) -> A.Memory:
         given = {key: r[key] for key in ("importance", "confidence", "recency") if r.get(key) is not None}
