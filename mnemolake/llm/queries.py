@@ -12,8 +12,8 @@ from ._common import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = vectors.neighbour_pairs(vectors.both_collections(table(spark, d, "chunks"), table(spark, d, "embedding_cache")))
-    return pairs.select(F.split("grp", ":")[0].alias("collection"), "id_a", "id_b").distinct()
+    usable = vectors.both_collections(table(spark, d, "chunks"), table(spark, d, "embedding_cache"))
+    return vectors.neighbour_pairs(usable, label=F.split("grp", ":", 2)[0]).withColumnRenamed("grp", "collection")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

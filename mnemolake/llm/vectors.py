@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -208,10 +208,12 @@ def search_shard(indexed: np.ndarray, asking: np.ndarray, least: float, margin:
     return q[keep], y[keep], s[keep]
 
 
-def neighbour_pairs(vectors: DataFrame, k: int = NEIGHBOURS, least: float = LEAST, factor: float = FACTOR) -> DataFrame:
-    """(grp, id_a, id_b), id_a < id_b: one is in the other's list. A list holds the at most k other ids of the same group with
+def neighbour_pairs(vectors: DataFrame, k: int = NEIGHBOURS, least: float = LEAST, factor: float = FACTOR, label: Column | None = None) -> DataFrame:
+    """(grp, id_a, id_b), id_a < id_b, each once: one is in the other's list. A list holds the at most k other ids of the same group with
     the highest cosine of at least `least`, smaller ids first among equals.
 
+    label: what the result calls a group, from column grp (its name if not given).
+
     vectors: as usable_vectors returns them. An id counts once, with its earliest vector. Equal vectors are one class: one
     of them is searched, and the list of each copy is the smallest other ids of its class, then those of the others;
     a class of any size costs each of its copies k rows.
@@ -265,7 +267,8 @@ def neighbour_pairs(vectors: DataFrame, k: int = NEIGHBOURS, least: float = LEAS
     head = lists.select("grp", F.explode("ids").alias("me"), "all").select("grp", "me", F.explode(best(F.col("me"))["id"]).alias("other"))
     large = lists.where(F.size("ids") > k).select("grp", "cls", "ids", "all")
     rest = members.select("grp", "cls", F.col("id").alias("me")).join(large, ["grp", "cls"]).where(~F.array_contains("ids", F.col("me"))).select("grp", "me", F.explode(best(F.col("me"))["id"]).alias("other"))
-    return head.unionByName(rest).select("grp", F.least("me", "other").alias("id_a"), F.greatest("me", "other").alias("id_b")).distinct()
+    named = (F.col("grp") if label is None else label).alias("grp")
+    return head.unionByName(rest).select(named, F.least("me", "other").alias("id_a"), F.greatest("me", "other").alias("id_b")).distinct()
 
 
 def both_collections(chunks: DataFrame, cache: DataFrame) -> DataFrame:
