@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import Rolling, codepoints, expand, slices
+from ._common import Rolling, codepoints, expand, materialize, slices
 
 # fixed values: perfect difference sets by modulus
 COVERS = {
@@ -196,6 +196,7 @@ def shared_spans(df: DataFrame, ident: str = "doc_id", text: str = "text", lengt
         .groupBy("a", "b", "delta", "k")
         .agg(F.min("pa").alias("s"), (F.max("pa") + w).alias("e"))
     )
+    chain = materialize(chain, "span-chains")
     need = chain.select(F.col("a").alias("id")).unionByName(chain.select(F.col("b").alias("id"))).distinct()
     texts = reps.join(need, "id", "left_semi")
 
