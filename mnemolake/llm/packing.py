@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import materialize, slices
 from .encoding import SLICE, VOCABULARY, encoder
 
 DIMS, BITS = 4, 15
@@ -123,7 +123,7 @@ def pack(df: DataFrame, capacities: dict[str, int], ident: str = "doc_id", text:
     if not capacities or min(capacities.values()) < 1:
         raise ValueError("capacities must be positive")
     spark = df.sparkSession
-    sized = sizes_and_keys(df, ident, text, vocabulary)
+    sized = materialize(sizes_and_keys(df, ident, text, vocabulary), "sizes")  # the range sort reads it twice
     kind = sized.schema["doc_id"].dataType.simpleString()
     n = partitions or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     ordered = sized.repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id").withColumn("part", F.spark_partition_id())
