@@ -40,6 +40,7 @@ class Vocabulary:
         with open(path, "rb") as f:
             self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes = {i: t for t, i in self.ids.items()}
+        self.longest = max(map(len, self.ids))
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.joins: dict[int, bool] = {}
@@ -226,8 +227,7 @@ class Prefixes:
         data, last, root, joins, compatible = self.data, self.last, self.v.trie, self.v.joins, self.v.compatible
         n = len(data)
         last.extend([-1] * (n + 1 - len(last)))
-        longest = max(1, begin - 127) if begin else 0
-        for i in range(longest if begin else 0, n):
+        for i in range(max(0, begin + 1 - self.v.longest), n):
             before = last[i] if i else None
             node, j = root, i
             while j < n:
@@ -244,14 +244,6 @@ class Prefixes:
                             ok = joins.get(before << 20 | t)
                             if ok or ok is None and compatible(before, t):
                                 last[j] = t
-        if begin and longest > 1:
-            self._check(begin)
-
-    def _check(self, begin: int) -> None:
-        """Tokens that begin more than 127 bytes before `begin` (none in known vocabularies) are covered by a full pass."""
-        if any(t < 0 for t in self.last[begin + 1 :]):
-            self.last = [-1]
-            self._fill(0)
 
     def append(self, more: bytes) -> None:
         begin = len(self.data)
