@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from ._common import heads_of, materialize, signed
 
 #: Vectors the routing tree is fitted on at most, vectors of a shard aimed at, sample vectors of a leaf at least.
-SAMPLE, SHARD, LEAF_SAMPLE = 32_768, 8_000, 24
+SAMPLE, SHARD, LEAF_SAMPLE = 32_768, 16_000, 24
 #: Vectors of a bucket, vantage points tried for a split.
 BUCKET, TRIED = 256, 48
 #: Part of the radius that the triangle inequality is relaxed to: between shards, where a visit costs a copy of the vector, and
