@@ -87,4 +87,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_coverage": p8_coverage,
 }
 
-SQL: dict[str, str] = {}
+_WORDS = "list_distinct(regexp_extract_all(lower(replace({}, 'İ', 'i\u0307')), '[\\p{{L}}\\p{{N}}]+'))"
+
+# Problems 1, 2, 6 and 7 have no SQL: approximate neighbours, fitted models, a tokenizer, and one of many good packings.
+SQL: dict[str, str] = {
+    "p3_found": f"""WITH m AS (SELECT memory_id, max(content) AS t FROM (SELECT memory_id, content FROM chunks UNION ALL SELECT memory_id, content FROM retrieved) WHERE memory_id IS NOT NULL AND content IS NOT NULL GROUP BY 1),
+      s AS (SELECT memory_id, {_WORDS.format('t')} AS s FROM m), w AS (SELECT memory_id, len(s) AS n, unnest(s) AS w FROM s WHERE len(s) >= 24),
+      p AS (SELECT a.memory_id AS a, b.memory_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM w a JOIN w b ON a.w = b.w AND a.memory_id < b.memory_id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY 1, 2)
+      SELECT a AS memory_id_a, b AS memory_id_b FROM p WHERE c >= 0.8 * (na + nb - c)""",
+    "p4_found": """WITH c AS (SELECT memory_id, coalesce(memory_type, 'session') AS k, any_value(content) AS t FROM chunks WHERE memory_id IS NOT NULL AND content IS NOT NULL GROUP BY ALL),
+      q AS (SELECT DISTINCT ON (question_id) question_id, haystack_session_ids AS ids, haystack_sessions AS ss FROM samples WHERE question_id IS NOT NULL),
+      z AS (SELECT question_id, ids[n] AS sid, list_sum(list_transform(ss[n], lambda t: coalesce(length(t.content), 0))) AS n_chars FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS n FROM q))
+      SELECT DISTINCT 'chunk' AS item_kind, memory_id AS item_id, '' AS session_id FROM c JOIN size_limits l ON l.item_kind = 'chunk' AND coalesce(l.memory_type, 'session') = k WHERE greatest(1, length(t) // 4) > max_tokens
+      UNION SELECT 'session', question_id, coalesce(sid, '') FROM z JOIN size_limits l ON l.item_kind = 'session' WHERE greatest(1, coalesce(n_chars, 0) // 4) > max_tokens""",
+    "p5_found": f"""WITH sp AS (SELECT DISTINCT dataset_path, e.key AS split, unnest(e.value) AS question_id FROM (SELECT dataset_path, unnest(map_entries(splits)) AS e FROM split_manifests)),
+      q AS (SELECT DISTINCT ON (question_id) question_id, split = 'train' AS train, question, haystack_sessions AS ss FROM samples JOIN sp USING (dataset_path, question_id)),
+      i AS (SELECT question_id, train, 'question' AS field, 0 AS n, question AS t FROM q UNION ALL SELECT question_id, train, 'session', n, array_to_string(list_transform(ss[n], lambda x: x.content), ' ') FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS n FROM q)),
+      w AS (SELECT question_id, train, field, n, len(s) AS k, unnest(s) AS w FROM (SELECT *, {_WORDS.format('t')} AS s FROM i)),
+      p AS (SELECT a.question_id AS a, b.question_id AS b, a.field, a.n, b.n, any_value(a.k) AS ka, any_value(b.k) AS kb, count(*) AS c FROM w a JOIN w b ON a.field = b.field AND a.w = b.w AND a.train AND NOT b.train AND least(a.k, b.k) >= 0.8 * greatest(a.k, b.k) GROUP BY ALL)
+      SELECT DISTINCT least(a, b) AS question_id_a, greatest(a, b) AS question_id_b, field FROM p WHERE c >= 0.8 * (ka + kb - c)""",
+    "p8_found": """WITH w AS (SELECT doc_id, substring(text, i, 160) AS x FROM (SELECT doc_id, text, unnest(range(1, length(text) - 158)) AS i FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 160)),
+      s AS (SELECT DISTINCT doc_id, x FROM w QUALIFY min(doc_id) OVER (PARTITION BY x) <> max(doc_id) OVER (PARTITION BY x))
+      SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id""",
+}
