@@ -75,7 +75,7 @@ def redundancy(df: DataFrame, block: int = 512) -> DataFrame:
     dealt = sized.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("memory_id"), F.col("parts")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
 
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(key, pdf):
         v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
         v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
         first = (pdf["mine"] == key[1]).to_numpy()

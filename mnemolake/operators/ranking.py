@@ -33,12 +33,13 @@ def bm25(questions: DataFrame, memories: DataFrame, floor_length: bool = False)
 
     questions: question_id, question; memories: question_id, memory_id, content. Statistics are those of the question's own
     memories. A term repeated in the question counts as often. floor_length: average length of at least 1.
-    Only terms of the question are counted per memory; the rest of the content adds its length alone.
+    Terms that the question doesn't have are dropped before counting; they add to the content's length alone.
     """
     q = term_rows(questions, "question", "question_id").withColumnRenamed("tf", "times")
-    sized = memories.select("question_id", "memory_id", "content", F.size(terms(F.col("content"))).alias("n_terms"))
-    stats = sized.groupBy("question_id").agg(F.count("*").alias("n"), F.avg("n_terms").alias("avg_terms"))
-    tf = term_rows(sized, "content", "question_id", "memory_id", "n_terms").join(q, ["question_id", "term"])
+    split = memories.select("question_id", "memory_id", terms(F.col("content")).alias("terms"))
+    stats = split.groupBy("question_id").agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg_terms"))
+    asked = split.select("question_id", "memory_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).join(q, ["question_id", "term"])
+    tf = asked.groupBy("question_id", "memory_id", "term", "n_terms", "times").agg(F.count("*").alias("tf"))
     df = tf.groupBy("question_id", "term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.greatest(F.col("avg_terms"), F.lit(1.0)) if floor_length else F.col("avg_terms")
