@@ -31,7 +31,7 @@ SAMPLE, SHARD, LEAF_SAMPLE = 32_768, 16_000, 24
 BUCKET, TRIED = 256, 48
 #: Part of the radius that the triangle inequality is relaxed to: between shards, where a visit costs a copy of the vector, and
 #: within one, where it costs a comparison only, LOCAL times as much (one at most).
-FACTOR, LOCAL = 0.045, 1.5
+FACTOR, LOCAL = 0.05, 2.5
 #: Unit vectors are kept as 16-bit numbers of this scale: a cosine is off by about 1e-5 at most.
 SCALE = 32_767
 DIMENSION, NEIGHBOURS, LEAST = 64, 5, 0.85
