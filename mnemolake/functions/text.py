@@ -25,6 +25,7 @@ ABSTENTIONS = ("i do not know", "i dont know", "unknown", "no answer", "not answ
 EMAIL = r"\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"\b(?:\+?\d[\d\s().-]{7,}\d)\b"
 SECRET = r"(?i)\b(?:api[_-]?key|password|passwd|secret|token|private[_-]?key)\b"
+_WORD, _SPACE = r"\p{L}\p{N}_", r"\s\x1c-\x1f\x85\p{Z}"
 
 
 def casefold(c: Column) -> Column:
@@ -149,8 +150,14 @@ def truncate(c: Column, limit: int) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.rtrim(F.substring(c, 1, limit - 1)), F.lit("…"))).otherwise(c)
 
 
+def _unicode(pattern: str) -> str:
+    """One of the three patterns above for Java, with word, digit, space and boundary as Python has them for any script."""
+    out = pattern.replace(r"[\w", f"[{_WORD}").replace(r"[\d\s", rf"[\p{{Nd}}{_SPACE}").replace(r"\d", r"\p{Nd}").replace("(?i)", "(?iu)")
+    return out.replace(r"\b", f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))")
+
+
 def privacy_risk(c: Column) -> Column:
-    risks = [F.when(c.rlike(EMAIL), 0.6), F.when(c.rlike(PHONE), 0.65), F.when(c.rlike(SECRET), 0.9), F.when(contains_any(c, PRIVATE_WORDS), 0.75)]
+    risks = [F.when(c.rlike(_unicode(EMAIL)), 0.6), F.when(c.rlike(_unicode(PHONE)), 0.65), F.when(c.rlike(_unicode(SECRET)), 0.9), F.when(contains_any(c, PRIVATE_WORDS), 0.75)]
     return F.greatest(F.lit(0.0), *[F.coalesce(r, F.lit(0.0)) for r in risks])
 
 

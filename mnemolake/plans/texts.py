@@ -126,6 +126,12 @@ def privacy_risk(spark, d):
     return S.table(spark, d, "documents").where(F.col("text").isNotNull() & F.col("text").rlike(r"^[\x00-\x7f]*\z")).select("doc_id", X.privacy_risk(F.col("text")).alias("risk"))
 
 
+@query("privacy_risk_all")
+def privacy_risk_all(spark, d):
+    """The risk of every text in any script; privacy_risk is its part on plain ASCII, where RE2 has the same words and digits."""
+    return S.table(spark, d, "documents").where("text is not null").select("doc_id", X.privacy_risk(F.col("text")).alias("risk"))
+
+
 @query("truncated_texts", "SELECT doc_id, CASE WHEN length(text) > 80 THEN rtrim(substring(text, 1, 79), ' ') || '…' ELSE text END AS short, coalesce(length(text) > 80, FALSE) AS cut FROM documents")
 def truncated_texts(spark, d):
     t = F.col("text")

@@ -65,6 +65,22 @@ def test_privacy(spark):
         assert one(spark, X.privacy_risk(F.col("t")), t=text) == risk
 
 
+def test_privacy_of_any_script(spark, tmp_path):
+    """Every document with a text comes out, with the risk that the patterns have in Python."""
+    import re
+
+    from mnemolake.plans import all_queries
+
+    texts = [
+        "josé.müller@exämple.org", "写信给a.b@c.org吧", "写信给 a.b@c.org。", "Anruf – +49 (30) 1234567", "电话 ٠١٢٣٤٥٦٧٨٩", "电话１２３４５６７８９０", "555\u00a0123\u20094567", "²5551234567", "密码password是", "密码：password。", "“Token” → x", "clé paſſword",
+        "API\u2013KEY", "api_KEY …", "请填身份证", "我的手机号 a@b.cd", "银行卡 token", "über nichts", "plain", "secret", "", "e\u0301secret", "secret\u0301", "a@b.cdé", "\n555 1234 567\n", None,
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = lambda t: max(0.6 * bool(re.search(X.EMAIL, t)), 0.65 * bool(re.search(X.PHONE, t)), 0.9 * bool(re.search(X.SECRET, t)), 0.75 * any(w in t for w in X.PRIVATE_WORDS))
+    want = {i: found(t) for i, t in enumerate(texts) if t is not None}
+    assert {r.doc_id: r.risk for r in all_queries()[0]["privacy_risk_all"](spark, str(tmp_path)).collect()} == want and set(want.values()) == {0.0, 0.6, 0.65, 0.75, 0.9}
+
+
 def test_numbers(spark):
     assert one(spark, N.clamp01(F.lit(float("nan")))) == 0.0 and one(spark, N.clamp01(F.lit(2.0))) == 1.0
     v = lambda *x: F.array(*[F.lit(float(y)) for y in x])
