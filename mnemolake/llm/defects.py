@@ -1,14 +1,17 @@
 """Broken question-answer pairs: empty, refused, copied, in another language, or broken off.
 
-Two small models are fitted on bounded samples. Languages: character n-gram naive Bayes, first on documents with their
-language labels (which may be wrong here and there), then once more with the questions and answers it is sure of. Ends of
-texts: for the last one to five words of every position of the sampled answers (numbers and names masked), how
-often a sentence ends there; an answer without a final stop whose last words hardly ever end a sentence is broken off.
+Words are known that stand in a share of all documents, questions and answers. Languages: character n-gram naive Bayes, first
+on a bounded sample of documents with their language labels (which may be wrong here and there), then twice more with all
+questions and answers it is sure of. Ends of texts: for the last one to five words of every position of all answers
+(numbers and names masked), how often a sentence ends there; an answer without a final stop whose last words hardly ever end
+a sentence is broken off. Counts cover every row: tasks add them up in arrays of a fixed size, which are summed by blocks.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +19,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Rolling, codepoints, slices
+from ._common import Rolling, codepoints, materialize, slices
 
-#: Rows the models are fitted on, about: documents with a label, and question-answer pairs.
-DOCUMENTS, PAIRS = 4_000, 12_000
+#: Documents with a label that the first language model is fitted on, about.
+DOCUMENTS = 4_000
 LANGUAGES = ("en", "de", "fr", "es", "zh")
 GRAMS, BUCKETS = (1, 2, 3, 4), 1 << 16
 #: Texts a word must stand in to be known; log odds that make a language sure; share of ends below which a text is broken off; share of all
 #: positions at which a context must have been seen.
 KNOWN, SURE, ENDS, SEEN = 6, 3.0, 0.03, 1.3e-4
+#: The same words in more texts: shares of all texts that a known word must stand in, and of all answers that a word must stand in before
+#: their last word to end a text. The counts KNOWN and WHOLE hold where the shares come to less.
+KNOWN_SHARE, WHOLE, WHOLE_SHARE = 3e-4, 2, 2 / 12_000
+#: Cells of each of the two rows of a count of words; blocks that arrays are summed in; fixed, whatever the corpus.
+CELLS, BLOCKS = 1 << 20, 256
 
 # fixed values: what stands in for an answer without being one
 PLACEHOLDERS = {
@@ -71,19 +79,58 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
+@lru_cache(maxsize=1 << 17)
+def cells_of(word: str) -> tuple[int, int]:
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(word)
+    return h % CELLS, CELLS + (h >> 32) % CELLS
+
+
+def add_words(total: np.ndarray, sets) -> None:
+    """Add sets of words to 2 * CELLS counts. Both cells of a word count at least the sets that hold it."""
+    many: Counter[str] = Counter()
+    for words in sets:
+        many.update(words)
+    for word, n in many.items():
+        a, b = cells_of(word)
+        total[a] += n
+        total[b] += n
+
+
+class Frequent:
+    """The words that stand in `least` texts or more, by counts of add_words: none is missed, and few others share both cells with such words."""
+
+    def __init__(self, counts: np.ndarray, least: float):
+        self.enough = counts >= least
+
+    def __contains__(self, word: str) -> bool:
+        a, b = cells_of(word)
+        return bool(self.enough[a] and self.enough[b])
+
+
 class Languages:
     """Character n-gram naive Bayes over the known words of a text: unknown ones (names) tell nothing of the language."""
 
-    def __init__(self, texts: list[str], labels: list[str], known: set[str]):
+    def __init__(self, known: Frequent, counts: np.ndarray | None = None):
+        """counts: (languages * BUCKETS) n-grams of the texts of each language, from add()."""
         self.known = known
-        counts = np.full((len(LANGUAGES), BUCKETS), 0.5)
-        for k, language in enumerate(LANGUAGES):
-            mine = [self.reduced(t) for t, x in zip(texts, labels) if x == language]
-            for at in range(0, len(mine), 500):
-                grams, _ = self._grams(mine[at : at + 500])
-                counts[k] += np.bincount(grams, minlength=BUCKETS)
+        counts = 0.5 + (np.zeros(len(LANGUAGES) * BUCKETS) if counts is None else counts).reshape(len(LANGUAGES), BUCKETS)
         self.logs = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
+    def add(self, total: np.ndarray, texts: list[str], weights: list[int], labels: list[int] | None = None) -> None:
+        """Add the n-grams of texts, each `weight` times, to the counts of their languages; without labels, of those texts whose language is sure."""
+        for a, b in slices(texts, len, 500_000):
+            grams, owner = self._grams([r if r.strip() else "" for r in map(self.reduced, texts[a:b])])
+            if labels is None:
+                scores = self._sums(grams, owner, b - a)
+                order = np.sort(scores, axis=1)
+                best = np.where(order[:, -1] - order[:, -2] >= 2 * SURE, scores.argmax(axis=1), -1)
+            else:
+                best = np.array(labels[a:b])
+            at, many = best[owner], np.array(weights[a:b])[owner]
+            total += np.bincount((at * BUCKETS + grams)[at >= 0], weights=many[at >= 0], minlength=len(total)).astype(np.int64)
+
     def reduced(self, text: str) -> str:
         return " " + " ".join(w for w in words_of(text) if w in self.known) + " "
 
@@ -106,35 +153,49 @@ class Languages:
         """(n, languages) log likelihoods, per n-gram order averaged; all 0 for a text without known words."""
         out = np.zeros((len(texts), len(LANGUAGES)))
         for a, b in slices(texts, len, 500_000):
-            grams, owner = self._grams([r if r.strip() else "" for r in map(self.reduced, texts[a:b])])
-            for k in range(len(LANGUAGES)):
-                out[a:b, k] = np.bincount(owner, weights=self.logs[k, grams], minlength=b - a)
-        return out / len(GRAMS)
+            out[a:b] = self._sums(*self._grams([r if r.strip() else "" for r in map(self.reduced, texts[a:b])]), b - a)
+        return out
+
+    def _sums(self, grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(owner, weights=self.logs[k, grams], minlength=n) for k in range(len(LANGUAGES))], axis=1) / len(GRAMS)
 
 
 class Endings:
     """How often a sentence ends after the last words of a text."""
 
     DEPTH, SLOTS = 5, 1 << 20
+    #: Of the counts: ends and positions by slot, words before the last one, number of positions and texts.
+    SIZE = 2 * SLOTS + 2 * CELLS + 2
 
-    def __init__(self, texts: list[str], known: set[str]):
+    def __init__(self, known: Frequent, counts: np.ndarray | None = None):
+        """counts: SIZE numbers from add()."""
         self.known = known
-        self.end, self.all = np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
-        positions = 0
-        self.whole: Counter[str] = Counter()
-        for t in texts:
-            tokens = self.tokens(t.rstrip(CLOSERS))
-            self.whole.update(set(tokens[:-1]))
-            for i in range(1, len(tokens)):
-                if tokens[i] in STOPS:
-                    continue
-                ends = i + 1 == len(tokens) or tokens[i + 1] in STOPS
-                positions += 1
-                for key in self._keys(tokens, i):
-                    self.all[key] += 1
-                    self.end[key] += ends
+        counts = np.zeros(self.SIZE, np.int64) if counts is None else counts
+        most = np.iinfo(np.int32).max
+        self.end, self.all = (np.minimum(x, most).astype(np.int32) for x in (counts[: self.SLOTS], counts[self.SLOTS : 2 * self.SLOTS]))
+        positions, texts = counts[-2:].tolist()
+        self.whole = Frequent(counts[2 * self.SLOTS : -2], max(WHOLE, WHOLE_SHARE * texts))
         self.seen = max(8.0, SEEN * positions)
 
+    def add(self, total: np.ndarray, texts: list[str]) -> None:
+        for a, b in slices(texts, len, 500_000):
+            keys, ended, inner = [], [], []
+            for t in texts[a:b]:
+                tokens = self.tokens(t.rstrip(CLOSERS))
+                inner.append(set(tokens[:-1]))
+                for i in range(1, len(tokens)):
+                    if tokens[i] in STOPS:
+                        continue
+                    total[-2] += 1
+                    found = self._keys(tokens, i)
+                    keys += found
+                    if i + 1 == len(tokens) or tokens[i + 1] in STOPS:
+                        ended += found
+            total[: self.SLOTS] += np.bincount(np.array(ended, np.int64), minlength=self.SLOTS)
+            total[self.SLOTS : 2 * self.SLOTS] += np.bincount(np.array(keys, np.int64), minlength=self.SLOTS)
+            add_words(total[2 * self.SLOTS : -2], inner)
+            total[-1] += b - a
+
     def tokens(self, text: str) -> list[str]:
         out = ["^"]
         for t in TOKEN.findall(text):
@@ -177,7 +238,7 @@ class Endings:
         tokens = self.tokens(text)
         if len(tokens) == 2:
             return False
-        if len(tokens) > 4 and tokens[-1].isalpha() and tokens[-1] not in ("X", "?") and self.whole[tokens[-1]] < 2:
+        if len(tokens) > 4 and tokens[-1].isalpha() and tokens[-1] not in ("X", "?") and tokens[-1] not in self.whole:
             return True
         keys = self._keys(tokens, len(tokens) - 1)
         known = [k for k in keys if self.all[k] >= self.seen]
@@ -277,27 +338,60 @@ def _taken(df: DataFrame, most: int, *key: str) -> list:
     return df.where(h < int(share * (1 << 30))).limit(most + most // 5).collect()
 
 
+def summed(df: DataFrame, size: int, add) -> np.ndarray:
+    """`size` counts over all rows: add(total, batch) adds those of a batch; tasks send one array each, in BLOCKS blocks, and blocks are summed."""
+    width = -(-size // BLOCKS)
+
+    def count(batches):
+        total = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            add(total, batch)
+        parts = [(b, total[b * width : (b + 1) * width]) for b in range(BLOCKS)]
+        rows = [(b, zlib.compress(x.tobytes(), 1)) for b, x in parts if x.any()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "counts"])
+
+    def merge(key, pdf):
+        import pandas as pd
+
+        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["counts"])
+        return pd.DataFrame({"block": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    out = np.zeros(size, dtype=np.int64)
+    for r in df.mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(merge, "block int, counts binary").collect():  # BLOCKS rows of a fixed size
+        out[r.block * width : (r.block + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    return out
+
+
 def fit(documents: DataFrame, pairs: DataFrame) -> Judge:
-    """Fit both models on about DOCUMENTS labelled documents and PAIRS pairs, taken by hash of their ids."""
+    """Fit both models: counts over all documents, questions and answers; only the labelled documents are a sample of about DOCUMENTS, by hash of their ids."""
+    spark = documents.sparkSession
     label = F.lower(F.substring("lang", 1, 2))
     docs = _taken(documents.where(label.isin(*LANGUAGES) & F.col("text").isNotNull()).select("doc_id", "text", label.alias("lang")), DOCUMENTS, "doc_id")
-    rows = _taken(pairs.select("record_kind", "record_id", "question", "answer"), PAIRS, "record_kind", "record_id")
-    answers = [t for r in rows for t in r.answer or [] if t]
-    questions = [r.question for r in rows if r.question]
-    texts, labels = [r.text for r in docs], [r.lang for r in docs]
-    seen: Counter[str] = Counter()
-    for t in [*texts, *set(questions), *answers]:
-        seen.update(set(words_of(t)))
-    known = {w for w, n in seen.items() if n >= KNOWN}
-    model = Languages(texts, labels, known)
+    questions = pairs.where("question <> ''").groupBy(F.col("question").alias("text")).agg(F.count("*").alias("n")).withColumn("said", F.lit(False))
+    answers = pairs.select(F.explode("answer").alias("text")).where("text <> ''").select("text", F.lit(1).cast("bigint").alias("n"), F.lit(True).alias("said"))
+    texts = materialize(questions.unionByName(answers), "defect-texts")
+
+    def words(total, batch):
+        found = batch.column(0).to_pylist()
+        add_words(total[:-1], (set(words_of(t)) for t in found))
+        total[-1] += len(found)
+
+    counts = summed(documents.where("text is not null").select("text").unionByName(texts.select("text")), 2 * CELLS + 1, words)
+    known = Frequent(counts[:-1], max(KNOWN, KNOWN_SHARE * counts[-1]))
+    blank = spark.sparkContext.broadcast(Endings(known))
+    endings = Endings(known, summed(texts.where("said").select("text"), Endings.SIZE, lambda total, batch: blank.value.add(total, batch.column(0).to_pylist())))
+    model, size = Languages(known), len(LANGUAGES) * BUCKETS
+    first = np.zeros(size, np.int64)
+    model.add(first, [r.text for r in docs], [1] * len(docs), [LANGUAGES.index(r.lang) for r in docs])
+    model = Languages(known, first)
     for _ in range(2):
-        every = [*texts, *questions, *answers]
-        scores = model.scores(every)
-        order = np.sort(scores, axis=1)
-        sure = (order[:, -1] - order[:, -2] >= 2 * SURE).nonzero()[0]
-        best = scores.argmax(axis=1)
-        model = Languages([every[i] for i in sure], [LANGUAGES[best[i]] for i in sure], known)
-    return Judge(model, Endings(answers, known))
+        shared = spark.sparkContext.broadcast(model)
+        own = np.zeros(size, np.int64)
+        model.add(own, [r.text for r in docs], [1] * len(docs))
+        every = summed(texts.select("text", "n"), size, lambda total, batch, shared=shared: shared.value.add(total, batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        model = Languages(known, own + every)
+    return Judge(model, endings)
 
 
 def defects(documents: DataFrame, samples: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -306,7 +400,7 @@ def defects(documents: DataFrame, samples: DataFrame, outputs: DataFrame) -> Dat
     Null or empty answers, and arrays without a text, are 'empty'. A record delivered again counts once, as first delivered.
     An output whose sample is missing is judged without a question. Whole texts are judged.
     """
-    pairs = pairs_of(samples, outputs)
+    pairs = materialize(pairs_of(samples, outputs), "defect-pairs")
     shared = documents.sparkSession.sparkContext.broadcast(fit(documents, pairs))  # models of a fixed size
 
     def run(batches):

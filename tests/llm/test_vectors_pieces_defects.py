@@ -165,3 +165,19 @@ def test_held_out_accuracy(spark):
     other = [next((s.answer for s, b in zip(clean, best) if b != a and len(s.answer[0]) > 60), None) for a in best]
     found = judge.judge(questions, other, [False] * len(clean))
     assert sum(x == "other_language" for x in found) >= 0.9 * sum(o is not None for o in other)
+
+
+def test_counts_cover_all_pairs(spark):
+    """20,000 pairs, more than a sample held: words, ends and positions of all of them are counted, and what is common is a share."""
+    docs = spark.createDataFrame([(1, "the box is in the garage", "en")], "doc_id bigint, text string, lang string")
+    pairs = spark.range(20_000, numPartitions=7).selectExpr(
+        "'sample' record_kind", "cast(id as string) record_id", "'Where is the box?' question", "array(concat('The box is in the ', if(id % 2 = 0, 'garage', 'attic'), if(id % 4000 = 7, ' of Julrivo.', '.')), null, '') answer", "false abstention"
+    )
+    judge = defects.fit(docs, pairs)
+    answers = [t for r in pairs.collect() for t in r.answer if t]
+    total = np.zeros(defects.Endings.SIZE, np.int64)
+    judge.endings.add(total, answers)
+    slots = defects.Endings.SLOTS
+    assert total[-1] == 20_000 and (judge.endings.end == total[:slots]).all() and (judge.endings.all == total[slots : 2 * slots]).all()
+    assert judge.endings.all[judge.endings._slot("^ ")] == 0 and judge.endings.seen == defects.SEEN * total[-2]
+    assert all(w in judge.languages.known for w in ("garage", "attic", "box")) and "julrivo" not in judge.languages.known
