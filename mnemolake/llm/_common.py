@@ -159,24 +159,56 @@ def common_count(a: bytes, b: bytes, dtype=np.uint32) -> int:
 
 # ---------------------------------------------------------------- classes of equal rows
 
-#: Members of a class that are paired with every other member; the rest of a class is linked through them.
-HEADS = 16
+#: Members of a class in one block, about. Blocks are paired, so a task that pairs huge classes has BLOCK ** 2 pairs at a time.
+BLOCK = 1024
 
 
-def heads_of(members: DataFrame, cls: str, ident: str, k: int = HEADS) -> DataFrame:
+def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sizes (cls, blocks), dealt (cls, id, block, blocks)) of distinct members (cls, id)."""
+    sizes = members.groupBy("cls").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return sizes, members.join(sizes, "cls").select("cls", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "blocks")
+
+
+def linked(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(x, y): every id of class a with every id of class b, for pairs (a, b, id_a, id_b) of class keys and distinct members (cls, id).
+
+    A class that isn't in members has its pair's id_a or id_b as its only id. A pair of ids linked by several pairs of
+    classes comes out several times.
+    """
+    sizes, dealt = _blocks(members)
+    p = pairs.select("a", "b", "id_a", "id_b").join(sizes.toDF("a", "n_a"), "a", "left").join(sizes.toDF("b", "n_b"), "b", "left")
+    p = materialize(p, "class-links")
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    many = p.where("n_a is not null or n_b is not null").withColumn("i", blocks(F.col("n_a"))).withColumn("j", blocks(F.col("n_b")))
+
+    def side(key: str, block: str, out: str) -> DataFrame:
+        t = dealt.select(F.col("cls").alias(key), F.col("block").alias(block), "id")
+        own = F.coalesce("id", F.when(F.col(f"n_{key}").isNull(), F.col(f"id_{key}")))
+        return many.join(t, [key, block], "left").select("a", "b", "i", "j", own.alias(out)).where(F.col(out).isNotNull())
+
+    both = side("a", "i", "x").join(side("b", "j", "y"), ["a", "b", "i", "j"]).select("x", "y")
+    return both.unionByName(p.where("n_a is null and n_b is null").select(F.col("id_a").alias("x"), F.col("id_b").alias("y")))
+
+
+def heads_of(members: DataFrame, cls: str, ident: str, k: int) -> DataFrame:
     """The k smallest ids of each class. row_number() <= k is limited before the shuffle, so a huge class costs k rows a task."""
     rank = F.row_number().over(Window.partitionBy(cls).orderBy(ident))
     return members.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
-def expand(pairs: DataFrame, members: DataFrame, k: int = HEADS) -> DataFrame:
+def expand(pairs: DataFrame, members: DataFrame, k: int | None = None) -> DataFrame:
     """Pairs of ids from pairs (a, b) of class keys and the members (cls, id) of classes that hold two ids or more.
 
     Members: distinct rows. A class that isn't in members has its key as its only id's class: pairs must then hold the ids
-    itself in columns id_a, id_b. Within a class, and between two linked classes, every pair is returned in which at least
-    one side is among the k smallest ids of its class. For classes of up to k ids that is every pair; larger groups of
-    exact copies stay linear in their size, each copy being linked to k others and to every partner of its class.
+    itself in columns id_a, id_b. Every pair within a class and between two linked classes is returned. No query gives k: with
+    it, only pairs are returned in which at least one side is among the k smallest ids of its class.
     """
+    if k is None:
+        _, dealt = _blocks(members)
+        left = dealt.select("cls", F.col("id").alias("x"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+        right = dealt.select("cls", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
+        inner = left.join(right, ["cls", "i", "j"]).where("i < j or x < y").select("x", "y")
+        return linked(pairs, members).unionByName(inner).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct()
     heads = heads_of(members, "cls", "id", k)
     tops = heads.groupBy("cls").agg(F.max("id").alias("top"))
     flagged = members.join(tops, "cls").select("cls", "id", (F.col("id") <= F.col("top")).alias("head"))

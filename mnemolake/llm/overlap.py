@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import HEADS, common_count, heads_of, materialize
+from ._common import common_count, linked, materialize
 from .near import word_table
 
 #: Bands and rows a band: a pair of similarity 0.8 is missed with a probability of (1 - 0.8**5)**20, about 4e-4.
@@ -57,8 +57,7 @@ def cross_split_pairs(items: DataFrame, t: float = 0.8) -> DataFrame:
     """(train_id, eval_id, field) of ids with t-similar texts of the same field on different sides.
 
     items: id, field, text, side ('train' or 'eval'); other columns are ignored. Null texts and texts without words overlap
-    with nothing; repeated rows count once. Within a class of equal sets, and between two linked classes, every pair comes
-    out in which at least one side is among the first HEADS ids of its class and side; the rest are linked through those.
+    with nothing; repeated rows count once. Every such pair comes out, however many ids hold equal sets.
     """
     tagged = items.where("id is not null and text is not null").select(F.concat_ws("|", "field", "side", "id").alias("id"), "text")
     words = word_table(tagged, "id", "text", 1)
@@ -95,14 +94,12 @@ def cross_split_pairs(items: DataFrame, t: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in ("field", "a", "b")], ["field", "a", "b"])
 
     links = both.mapInArrow(verify, "field string, a bigint, b bigint").unionByName(classes.where("train = 1 and held = 1").select("field", F.col("cls").alias("a"), F.col("cls").alias("b")))
-    keyed = members.withColumn("cls", F.concat_ws("|", "field", "side", F.col("cls").cast("string"))).select("cls", "id")
-    tops = heads_of(keyed, "cls", "id", HEADS).groupBy("cls").agg(F.max("id").alias("top"))
-    flagged = keyed.join(tops, "cls").select("cls", "id", (F.col("id") <= F.col("top")).alias("head"))
-    named = links.select("field", F.concat_ws("|", "field", F.lit("train"), "a").alias("a"), F.concat_ws("|", "field", F.lit("eval"), "b").alias("b"))
-    left, right = flagged.toDF("a", "train_id", "head_a"), flagged.toDF("b", "eval_id", "head_b")
-    one = named.join(left, "a").join(right.where("head_b"), "b")
-    two = named.join(left.where("head_a"), "a").join(right.where("not head_b"), "b")
-    return one.unionByName(two).select("train_id", "eval_id", "field").distinct()
+    key = lambda side, cls: F.concat_ws("|", "field", side, cls.cast("string"))
+    keyed = members.select(key(F.col("side"), F.col("cls")).alias("cls"), F.concat_ws("|", "field", "id").alias("id"))
+    none = F.lit(None).cast("string")  # every class is in members
+    named = links.select(key(F.lit("train"), F.col("a")).alias("a"), key(F.lit("eval"), F.col("b")).alias("b"), none.alias("id_a"), none.alias("id_b"))
+    train_id, eval_id = F.split("x", "\\|", 2), F.split("y", "\\|", 2)[1]
+    return linked(named, keyed).select(train_id[1].alias("train_id"), eval_id.alias("eval_id"), train_id[0].alias("field")).distinct()
 
 
 def split_items(samples: DataFrame, manifests: DataFrame) -> DataFrame:

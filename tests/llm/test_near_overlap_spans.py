@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import regex
 
-from mnemolake.llm import near, overlap, spans
+from mnemolake.llm import _common, near, overlap, spans
 from mnemolake.llm._common import components, expand
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -128,6 +128,29 @@ def test_expand_large_class(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_large_classes_come_out_whole(spark, monkeypatch, block):
+    """Forty texts of the same words in other orders, linked to thirty of nearly the same and to one: no pair is left out."""
+    monkeypatch.setattr(_common, "BLOCK", block)
+    rng = random.Random(block)
+    mixed = lambda w: " ".join(rng.sample(w, len(w)))
+    one = [f"w{i}" for i in range(30)]
+    texts = [mixed(one) for _ in range(40)] + [mixed([*one, "more"]) for _ in range(30)] + [mixed(one[1:]), "another text"]
+    ids = [f"m{i:02d}" for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(ids, texts)), "id string, content string")
+    want = {(a, b) for j, b in enumerate(ids) for i, a in enumerate(ids[:j]) if similar(words(texts[i]), words(texts[j]))}
+    got = [tuple(r) for r in near.near_pairs(df, "id", "content").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) == 71 * 70 // 2
+    sides = ["train" if i % 2 else "eval" for i in range(len(ids))]
+    items = spark.createDataFrame([(i, "question", t, s) for i, t, s in zip(ids, texts, sides)], "id string, field string, text string, side string")
+    side = dict(zip(ids, sides))
+    crossed = {((a, b) if side[a] == "train" else (b, a)) + ("question",) for a, b in want if side[a] != side[b]}
+    got = [tuple(r) for r in overlap.cross_split_pairs(items).collect()]
+    assert len(got) == len(set(got)) and set(got) == crossed
+    docs = spark.createDataFrame([(i, "x" * 200 if i < 40 else "y" * 30 + "x" * (170 + i % 2)) for i in range(70)] + [(99, "z" * 200)], "doc_id bigint, text string")
+    assert {tuple(r) for r in spans.sharing_pairs(docs).collect()} == {(i, j) for j in range(70) for i in range(j)}
+
+
 def test_overlaps(spark, texts):
     rng = random.Random(3)
     rows = [(f"q{i:03d}", "question" if i % 3 else "session", x, "train" if rng.random() < 0.6 else "eval", 1) for i, x in enumerate(texts)] + [("q000", "question", None, "train", 1), (None, "question", "x", "eval", 2)]
