@@ -181,3 +181,26 @@ def test_counts_cover_all_pairs(spark):
     assert total[-1] == 20_000 and (judge.endings.end == total[:slots]).all() and (judge.endings.all == total[slots : 2 * slots]).all()
     assert judge.endings.all[judge.endings._slot("^ ")] == 0 and judge.endings.seen == defects.SEEN * total[-2]
     assert all(w in judge.languages.known for w in ("garage", "attic", "box")) and "julrivo" not in judge.languages.known
+
+
+def test_rows_not_fitted_on(spark):
+    """Fitted on one half of the pairs of sf0.01; defects are planted in all rows of the other half that end with a full stop."""
+    d = "/root/testdata/sf0.01"
+    docs, samples, outputs = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "samples", "reader_outputs"))
+    pairs = defects.pairs_of(samples, outputs)
+    half = "pmod(xxhash64(coalesce(question, record_id)), 2)"
+    judge = defects.fit(docs, pairs.where(f"{half} = 0"))
+    rows = [r for r in pairs.where(f"{half} = 1").collect() if r.question and r.answer and r.answer[0] and len(r.answer[0]) > 60 and r.answer[0].rstrip()[-1:] in ".。"]
+    rows.sort(key=lambda r: (r.record_kind, r.record_id))
+    questions, rng = [r.question for r in rows], random.Random(4)
+    best = judge.languages.scores(questions).argmax(axis=1)
+    planted = {
+        "truncated": [[r.answer[0][: rng.randint(len(r.answer[0]) // 2, len(r.answer[0]) - 4)]] for r in rows],
+        "copy": [[q.upper()] for q in questions],
+        "empty": [["N/A"] for _ in rows],
+        "other_language": [next((s.question for s, b in zip(rows, best) if b != a), None) and [next(s.question for s, b in zip(rows, best) if b != a)] for a in best],
+        "whole": [[r.answer[0].rstrip(".。 ")] for r in rows],
+    }
+    share = {k: np.mean([x == ("truncated" if k == "whole" else k) for x in judge.judge(questions, a, [False] * len(rows))]) for k, a in planted.items()}
+    print("held out", len(rows), {k: round(float(v), 3) for k, v in share.items()})
+    assert share["truncated"] >= 0.75 and share["whole"] <= 0.15 and min(share[k] for k in ("copy", "empty", "other_language")) >= 0.9
