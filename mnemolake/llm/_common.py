@@ -59,8 +59,8 @@ def codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), bounds
 
 
-def _mixed(points: np.ndarray) -> np.ndarray:
-    x = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+def _mixed(points: np.ndarray, salt: int) -> np.ndarray:
+    x = (points.astype(np.uint64) + np.uint64(1 + salt)) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(29)
@@ -83,9 +83,9 @@ def _power(name: str, n: int) -> np.ndarray:
 class Rolling:
     """Hashes of any span of a code-point array in constant time: prefix sums of a polynomial modulo 2**64 over mixed characters."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, salt: int = 0):
         self.sums = np.zeros(len(points) + 1, dtype=np.uint64)
-        np.cumsum(_mixed(points) * _power("up", len(points)), out=self.sums[1:])
+        np.cumsum(_mixed(points, salt) * _power("up", len(points)), out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * _power("down", len(self.sums))[start]
@@ -196,11 +196,12 @@ def heads_of(members: DataFrame, cls: str, ident: str, k: int) -> DataFrame:
     return members.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
-def expand(pairs: DataFrame, members: DataFrame, k: int | None = None) -> DataFrame:
+def expand(pairs: DataFrame | None, members: DataFrame, k: int | None = None) -> DataFrame:
     """Pairs of ids from pairs (a, b) of class keys and the members (cls, id) of classes that hold two ids or more.
 
     Members: distinct rows. A class that isn't in members has its key as its only id's class: pairs must then hold the ids
-    itself in columns id_a, id_b. Every pair within a class and between two linked classes is returned. No query gives k: with
+    itself in columns id_a, id_b. Every pair within a class and between two linked classes is returned, each once. Without pairs,
+    classes aren't linked. No query gives k: with
     it, only pairs are returned in which at least one side is among the k smallest ids of its class.
     """
     if k is None:
@@ -208,7 +209,8 @@ def expand(pairs: DataFrame, members: DataFrame, k: int | None = None) -> DataFr
         left = dealt.select("cls", F.col("id").alias("x"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
         right = dealt.select("cls", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
         inner = left.join(right, ["cls", "i", "j"]).where("i < j or x < y").select("x", "y")
-        return linked(pairs, members).unionByName(inner).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct()
+        found = inner if pairs is None else linked(pairs, members).unionByName(inner)
+        return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct()
     heads = heads_of(members, "cls", "id", k)
     tops = heads.groupBy("cls").agg(F.max("id").alias("top"))
     flagged = members.join(tops, "cls").select("cls", "id", (F.col("id") <= F.col("top")).alias("head"))
@@ -230,27 +232,26 @@ def expand(pairs: DataFrame, members: DataFrame, k: int | None = None) -> DataFr
     return both.unionByName(within.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).where("x <> y").distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of the undirected edges; root is the smallest node of its component.
 
-    Alternating large-star and small-star steps on the edge table, each written to the shared folder; nothing is collected.
+    Alternating large-star and small-star steps on the edge table, each written to the shared folder, until a round changes no
+    edge: then every edge leads from a node to its root. Nothing is collected.
     """
     kind = edges.schema[a].dataType
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hop = large.join(low, "u")
         small = hop.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        if now == before:
+        before, e = e, materialize(small, "edges")
+        moved = e.join(before, ["u", "v"], "left_anti")
+        if e.count() == before.count() and not moved.limit(1).count():  # both are distinct, so no edge is gone either
             break
-        before = now
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root")).select(F.col("node").cast(kind), F.col("root").cast(kind))
 

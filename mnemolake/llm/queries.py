@@ -71,6 +71,10 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents"))
 
 
+def p8_groups(spark: SparkSession, d: str) -> DataFrame:
+    return spans.sharing_groups(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_coverage": p8_coverage,
+    "p8_groups": p8_groups,
 }
 
 _WORDS = "list_distinct(regexp_extract_all(lower(replace({}, 'İ', 'i\u0307')), '[\\p{{L}}\\p{{N}}]+'))"

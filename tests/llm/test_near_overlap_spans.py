@@ -178,8 +178,10 @@ def longest_common(a, b, least):
     return any(b[i : i + least] in grams for i in range(len(b) - least + 1))
 
 
-@pytest.mark.parametrize("length", [20, 160])
-def test_shared_spans(spark, length):
+@pytest.mark.parametrize("length,hot,flush", [(20, 32, 1 << 20), (160, 32, 1 << 20), (20, 3, 500), (160, 3, 500)])
+def test_shared_spans(spark, monkeypatch, length, hot, flush):
+    monkeypatch.setattr(spans, "HOT", hot)
+    monkeypatch.setattr(spans, "FLUSH", flush)
     rng = random.Random(length)
     letters = "abcde 中é🙂"
     noise = lambda n: "".join(rng.choice(letters) for _ in range(n))
@@ -201,3 +203,41 @@ def test_shared_spans(spark, length):
                 covered[k : k + length] = True
         assert share[i] == covered.sum(), i
     assert set(share) == set(range(len(texts)))
+    root = {i: i for pair in want for i in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in want:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    groups = spans.sharing_groups(df, length=length).collect()
+    assert {r.doc_id: r.group_id for r in groups} == {i: find(i) for i in root} and len(groups) == len(root)
+    first = {t: i for i, t in reversed(docs)}
+    assert all(r.class_id == first[texts[r.doc_id]] for r in groups)
+
+
+def test_hot_passages(spark, monkeypatch):
+    """A passage in 300 different documents, and each of its anchors in about 37, isn't paired while it is searched, yet every pair, group and character comes out."""
+    monkeypatch.setattr(spans, "HOT", 8)
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(200)
+    docs = [(i, noise(rng.randint(0, 90)) + passage + noise(rng.randint(0, 90))) for i in range(300)] + [(1000, noise(400))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = spans.Shared(df, "doc_id", "text", 160)
+    assert found.spans.count() <= 300 * 8 and 300 <= found.classes().count() <= 300 * 20
+    assert spans.sharing_pairs(df).count() == 300 * 299 // 2
+    assert {r.doc_id: r.group_id for r in spans.sharing_groups(df).collect()} == dict.fromkeys(range(300), 0)
+    share = {r.doc_id: r.shared_chars for r in spans.shared_share(df).collect()}
+    assert share.pop(1000) == 0 and all(200 <= n <= 206 for n in share.values())
+
+
+def test_long_chain_is_one_group(spark):
+    n = 5000
+    order = random.Random(1).sample(range(n), n)
+    edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)], "a bigint, b bigint")
+    assert {tuple(r) for r in components(edges).select("root").distinct().collect()} == {(0,)}
+    assert components(edges).count() == n
