@@ -47,6 +47,11 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "samples"), table(spark, d, "split_manifests"))
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    found = overlap.overlap_groups(overlap.split_items(table(spark, d, "samples"), table(spark, d, "split_manifests")))
+    return found.withColumnRenamed("id", "question_id")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.token_ids(table(spark, d, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_report": p5_report,
+    "p5_groups": p5_groups,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
