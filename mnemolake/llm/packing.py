@@ -2,8 +2,9 @@
 
 A document's tokens are hashed to a vector and projected to DIMS dimensions; the Hilbert index of the projection is the
 sort key, so documents with similar words lie near each other on the curve. The corpus is range-sorted by that key and
-each range is packed in one streaming pass: windows of documents, largest first, each into the fullest open container
-that still has room. Only a document above the capacity is split: into pieces of exactly the capacity and a rest.
+each range is packed in one streaming pass: short windows of documents along the curve, largest first, each into the fullest
+open container that still has room. A container is closed once it is full or began REACH documents ago, so its
+documents come from one short stretch of the curve. Only a document above the capacity is split: into pieces of exactly the capacity and a rest.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from ._common import materialize, slices
 from .encoding import SLICE, VOCABULARY, encoder
 
 DIMS, BITS = 4, 15
-#: Documents placed together, largest first; containers kept open between windows. Both bound a task's memory.
-WINDOW, OPEN = 8192, 512
+#: Documents placed together, largest first; documents along the curve after which a container is closed; documents of a range, about, at
+#: most; documents a task lays out at once.
+WINDOW, REACH, RANGE, CHUNK = 256, 1024, 2_000_000, 8192
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -91,33 +93,37 @@ class Packer:
     """Open containers of one capacity, ordered by the room left."""
 
     def __init__(self, capacity: int, first: int):
-        self.capacity, self.room, self.next = capacity, [], first
+        self.capacity, self.room, self.next, self.began, self.seen = capacity, [], first, {}, 0
 
     def place(self, sizes: list[int]) -> list[int]:
-        """Container number of each item of a window."""
+        """Container number of each item of a stretch of the curve."""
         out = [0] * len(sizes)
         room = self.room
-        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-            n = sizes[i]
-            k = bisect_left(room, (n, -1))
-            if k < len(room):
-                left, c = room.pop(k)
-            else:
-                left, c = self.capacity, self.next
-                self.next += 1
-            out[i] = c
-            if left - n >= 0:
+        for a in range(0, len(sizes), WINDOW):
+            b = min(a + WINDOW, len(sizes))
+            for i in sorted(range(a, b), key=lambda i: -sizes[i]):
+                n = sizes[i]
+                k = bisect_left(room, (n, -1))
+                if k < len(room):
+                    left, c = room.pop(k)
+                else:
+                    left, c = self.capacity, self.next
+                    self.next += 1
+                    self.began[c] = self.seen
+                out[i] = c
                 insort(room, (left - n, c))
-        if len(room) > OPEN:
-            del room[: len(room) - OPEN]
+            self.seen += b - a
+            room[:] = [(left, c) for left, c in room if left and self.seen - self.began[c] < REACH]
+            self.began = {c: self.began[c] for _, c in room}
         return out
 
 
 def pack(df: DataFrame, capacities: dict[str, int], ident: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, partitions: int | None = None) -> DataFrame:
-    """(container_kind, container, doc_id, piece, first_token, n_tokens) for every row of df and every capacity.
+    """(container_kind, container, doc_id, piece, first_token, n_tokens, place) for every row of df and every capacity.
 
     container is unique within its kind. Every row is assigned, one of 0 tokens takes no room; repeated rows are packed
-    as often as they come. Pieces of a split document cover its tokens in order. Equal curve keys are spread over ranges
+    as often as they come. Pieces of a split document cover its tokens in order. place is the document's number along the curve; in one container places lie less
+    than REACH + WINDOW apart. Equal curve keys are spread over ranges
     by doc_id, so a text that makes up a third of the corpus doesn't end in one range.
     """
     if not capacities or min(capacities.values()) < 1:
@@ -125,14 +131,15 @@ def pack(df: DataFrame, capacities: dict[str, int], ident: str = "doc_id", text:
     spark = df.sparkSession
     sized = materialize(sizes_and_keys(df, ident, text, vocabulary), "sizes")  # the range sort reads it twice
     kind = sized.schema["doc_id"].dataType.simpleString()
-    n = partitions or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    n = partitions or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, -(-sized.count() // RANGE))
     ordered = sized.repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id").withColumn("part", F.spark_partition_id())
-    names = ["container_kind", "container", "doc_id", "piece", "first_token", "n_tokens"]
+    names = ["container_kind", "container", "doc_id", "piece", "first_token", "n_tokens", "place"]
 
     def run(batches):
         packers: dict[str, Packer] = {}
 
-        def window(docs, tokens, part):
+        def chunk(t: pa.Table, first: int):
+            docs, tokens, part = t.column("doc_id").combine_chunks(), t.column("n_tokens").to_pylist(), t.column("part")[0].as_py()
             for name, capacity in capacities.items():
                 p = packers.setdefault(name, Packer(capacity, part << 40))
                 rows, pieces, firsts, counts, boxes = [], [], [], [], []
@@ -149,20 +156,19 @@ def pack(df: DataFrame, capacities: dict[str, int], ident: str = "doc_id", text:
                         rows.append(i), pieces.append(full), firsts.append(full * capacity), counts.append(left), boxes.append(-1)
                 for at, box in zip(rest_at, p.place(rest)):
                     boxes[at] = box
+                place = np.array(rows, dtype=np.int64) + (part << 40) + first
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(rows), pa.string()), pa.array(boxes, pa.int64()), docs.take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(firsts, pa.int64()), pa.array(counts, pa.int64())], names
+                    [pa.array([name] * len(rows), pa.string()), pa.array(boxes, pa.int64()), docs.take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(firsts, pa.int64()), pa.array(counts, pa.int64()), pa.array(place)], names
                 )
 
-        held, many = [], 0
+        held, many, seen = [], 0, 0
         for batch in batches:
             held.append(batch)
             many += batch.num_rows
-            if many >= WINDOW:
-                t = pa.Table.from_batches(held).combine_chunks()
-                yield from window(t.column("doc_id").combine_chunks(), t.column("n_tokens").to_pylist(), t.column("part")[0].as_py())
-                held, many = [], 0
+            if many >= CHUNK:
+                yield from chunk(pa.Table.from_batches(held).combine_chunks(), seen)
+                held, many, seen = [], 0, seen + many
         if many:
-            t = pa.Table.from_batches(held).combine_chunks()
-            yield from window(t.column("doc_id").combine_chunks(), t.column("n_tokens").to_pylist(), t.column("part")[0].as_py())
+            yield from chunk(pa.Table.from_batches(held).combine_chunks(), seen)
 
-    return ordered.mapInArrow(run, f"container_kind string, container bigint, doc_id {kind}, piece int, first_token bigint, n_tokens bigint")
+    return ordered.mapInArrow(run, f"container_kind string, container bigint, doc_id {kind}, piece int, first_token bigint, n_tokens bigint, place bigint")

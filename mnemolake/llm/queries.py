@@ -62,10 +62,11 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Containers used and the share of their room that is filled, by kind."""
+    """Containers used, the share of their room that is filled, and how far along the curve their documents lie apart on average, by kind."""
     specs = table(spark, d, "container_specs").select("container_kind", "capacity_tokens")
-    used = p7_containers(spark, d).groupBy("container_kind", "container").agg(F.sum("n_tokens").alias("n")).groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"))
-    return used.join(specs, "container_kind").select("container_kind", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("filled"))
+    each = p7_containers(spark, d).groupBy("container_kind", "container").agg(F.sum("n_tokens").alias("n"), (F.max("place") - F.min("place")).alias("apart"))
+    used = each.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.round(F.avg("apart"), 1).alias("stretch"))
+    return used.join(specs, "container_kind").select("container_kind", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("filled"), "stretch")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

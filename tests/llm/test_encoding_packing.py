@@ -94,6 +94,23 @@ def test_pack(spark, theirs):
             assert sum(n for *_, n in p) == sizes[i] and (len(p) == 1 or sizes[i] > cap)
             assert [f for _, f, _ in p] == [cap * k for k in range(len(p))]
         assert len(load) <= 1.1 * sum(sizes.values()) / cap + 4
+        assert len({r.place for r in mine}) == len(sizes)
     assert P.pack(df.limit(0), caps).count() == 0
     with pytest.raises(ValueError):
         P.pack(df, {"none": 0})
+
+
+def test_containers_hold_neighbours():
+    """Along the curve, documents of one container lie within a stretch, a tenth of what chance gives, and little room is left."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sizes = np.minimum(rng.lognormal(5.4, 1.1, 20_000).astype(int), 512).tolist()
+    for capacity in (512, 2048, 8192):
+        boxes = np.array(P.Packer(capacity, 0).place(sizes))
+        load = np.bincount(boxes, weights=sizes)
+        assert load.max() <= capacity and load.sum() >= 0.98 * capacity * len(load)
+        order = np.argsort(boxes, kind="stable")
+        runs = [r for r in np.split(order, np.flatnonzero(np.diff(boxes[order])) + 1) if len(r) > 1]
+        assert max(r.max() - r.min() for r in runs) < P.REACH + P.WINDOW
+        assert np.mean([np.abs(r[:, None] - r).sum() / (len(r) * (len(r) - 1)) for r in runs]) <= 0.1 * len(sizes) / 3
