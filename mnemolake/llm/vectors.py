@@ -6,7 +6,11 @@ in, and asks every shard that the triangle inequality cannot rule out: a side of
 distance to the vantage point is more than factor * radius beyond the split, radius being the distance that belongs to
 the least similarity wanted. Factor one skips nothing that could hold a result (exact); smaller factors skip sides that
 rarely do. Each shard is searched by a tree of its own, with the same rule, down to buckets compared as one matrix
-product. A pair seen from either side counts for both, so a pair is missed only if both skip each other.
+product, and what is near enough is scored again in double precision. A pair seen from either side counts for both, so a pair
+is missed only if both skip each other.
+
+Where a tree on the sample has too few leaves for shards of the size wanted, each leaf gets a tree of its own, fitted by a task on
+a sample of its own vectors; shards then keep their size up to SAMPLE / LEAF_SAMPLE squared shards.
 
 Of the points tried as vantage points, and the splits between their quantiles 0.3 and 0.7, the one with the fewest
 vectors near the split is taken.
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import json
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +31,20 @@ from pyspark.sql.window import Window
 from ._common import heads_of, materialize, signed
 
 #: Vectors the routing tree is fitted on at most, vectors of a shard aimed at, sample vectors of a leaf at least.
-SAMPLE, SHARD, LEAF_SAMPLE = 32_768, 16_000, 24
+SAMPLE, SHARD, LEAF_SAMPLE = 32_768, 20_000, 24
 #: Vectors of a bucket, vantage points tried for a split.
 BUCKET, TRIED = 256, 48
 #: Part of the radius that the triangle inequality is relaxed to: between shards, where a visit costs a copy of the vector, and
 #: within one, where it costs a comparison only, LOCAL times as much (one at most).
 FACTOR, LOCAL = 0.05, 2.5
-#: Unit vectors are kept as 16-bit numbers of this scale: a cosine is off by about 1e-5 at most.
-SCALE = 32_767
+#: Unit vectors are kept as 24-bit numbers of this scale: a cosine is off by 1e-6 at most, by 1e-7 as a rule.
+SCALE = (1 << 23) - 1
+#: What a cosine in single precision is off by at most.
+SINGLE = 1e-5
+#: Pairs scored again at once.
+SLAB = 1 << 17
+#: Vectors of a coarse leaf that one task gives their shards, about.
+DEALT = 200_000
 DIMENSION, NEIGHBOURS, LEAST = 64, 5, 0.85
 #: Decimals of a cosine; equal ones are ties.
 DECIMALS = 6
@@ -71,7 +82,8 @@ def parse_vector(text: str | None) -> list[float] | None:
 def usable_vectors(df: DataFrame, grp: str, ident: str, vector: str, time: str, dimension: int = DIMENSION) -> DataFrame:
     """(grp, id, at, cls, vec) of the usable rows: group and id not null, exactly `dimension` finite numbers, not all zero.
 
-    vector is an array of numbers or a JSON text. vec: the unit vector as 16-bit numbers. cls: a key of its direction.
+    vector is an array of numbers or a JSON text. vec: the unit vector, packed. cls: a key of its group and direction; directions that
+    agree to five decimals count as equal.
     """
     source = df.select(F.col(grp).cast("string").alias("grp"), F.col(ident).cast("string").alias("id"), F.col(time).cast("timestamp").alias("at"), F.col(vector).alias("v")).where("grp is not null and id is not null and v is not null")
 
@@ -88,14 +100,22 @@ def usable_vectors(df: DataFrame, grp: str, ident: str, vector: str, time: str,
                 matrix = v.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
             ok, x = unit(matrix)
             take = pa.array(rows[ok])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), pa.array(_keys(x)), pa.array([r.tobytes() for r in np.rint(x * SCALE).astype(np.int16)], pa.binary())], ["grp", "id", "at", "cls", "vec"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), pa.array(_keys(x)), pa.array(packed(x), pa.binary())], ["grp", "id", "at", "cls", "vec"])
+
+    return source.mapInArrow(run, "grp string, id string, at timestamp, cls bigint, vec binary").withColumn("cls", F.xxhash64("grp", "cls"))
+
 
-    return source.mapInArrow(run, "grp string, id string, at timestamp, cls bigint, vec binary")
+def packed(x: np.ndarray) -> list[bytes]:
+    """Unit vectors as 24-bit numbers, three bytes each."""
+    raw = np.rint(x * SCALE).astype("<i4").view(np.uint8).reshape(*x.shape, 4)[:, :, :3]
+    return [r.tobytes() for r in raw]
 
 
 def unpacked(vecs: list[bytes]) -> np.ndarray:
-    """The unit vectors (32-bit floats) of packed ones."""
-    x = np.frombuffer(b"".join(vecs), np.int16).reshape(len(vecs), -1).astype(np.float32)
+    """The unit vectors (64-bit floats) of packed ones."""
+    raw = np.zeros((len(vecs), len(vecs[0]) // 3, 4), np.uint8)
+    raw[:, :, 1:] = np.frombuffer(b"".join(vecs), np.uint8).reshape(len(vecs), -1, 3)
+    x = (raw.view("<i4")[:, :, 0] >> 8).astype(np.float64)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -167,14 +187,14 @@ class Tree:
                     todo.append((child, rows[there], (own & mine)[there]))
 
 
-def _best(q: np.ndarray, x: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
-    """Which of the pairs are among the k most similar of their q, ties with the k-th included."""
+def _best(q: np.ndarray, s: np.ndarray, k: int, slack: float = 0.0) -> np.ndarray:
+    """Which of the pairs are among the k most similar of their q, ties with the k-th and what is less by slack included."""
     order = np.lexsort((-s, q))
     q, s = q[order], s[order]
     start = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
     many = np.diff(np.append(start, len(q)))
     last = s[np.repeat(start + np.minimum(many, k) - 1, many)]
-    return order[s >= last]
+    return order[s >= last - slack]
 
 
 def search_shard(indexed: np.ndarray, asking: np.ndarray, least: float, margin: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,32 +202,98 @@ def search_shard(indexed: np.ndarray, asking: np.ndarray, least: float, margin:
 
     indexed: rows of asking that belong to the shard.
     """
-    x = asking[indexed]
-    tree = Tree(x, BUCKET, margin)
+    single = asking.astype(np.float32)
+    tree = Tree(single[indexed], BUCKET, margin)
     qs, xs, ss = [], [], []
-    for leaf, rows, _ in tree.visits(asking, margin):
+    for leaf, rows, _ in tree.visits(single, margin):
         there = indexed[tree.leaves[leaf]]
         for a in range(0, len(rows), 4096):
-            s = asking[rows[a : a + 4096]] @ asking[there].T
-            i, j = np.nonzero(s >= least - 1e-6)
-            q, y, s = rows[a + i], there[j], np.round(s[i, j].astype(np.float64), DECIMALS)
-            ok = (q != y) & (s >= least)
+            s = single[rows[a : a + 4096]] @ single[there].T
+            i, j = np.nonzero(s >= least - SINGLE)
+            q, y, s = rows[a + i], there[j], s[i, j]
+            ok = q != y
+            q, y, s = q[ok], y[ok], s[ok]
+            if not len(q):
+                continue
+            near = np.unique(np.concatenate((_best(q, s, k, 2 * SINGLE), _best(y, s, k, 2 * SINGLE))))
+            q, y = q[near], y[near]
+            s = np.concatenate([np.einsum("ij,ij->i", asking[q[c : c + SLAB]], asking[y[c : c + SLAB]]) for c in range(0, len(q), SLAB)])
+            s = np.round(s, DECIMALS)
+            ok = s >= least
             q, y, s = q[ok], y[ok], s[ok]
-            if len(q):
-                keep = _best(q, y, s, k)
-                other = _best(y, q, s, k)
-                qs += [q[keep], y[other]]
-                xs += [y[keep], q[other]]
-                ss += [s[keep], s[other]]
+            keep, other = _best(q, s, k), _best(y, s, k)
+            qs += [q[keep], y[other]]
+            xs += [y[keep], q[other]]
+            ss += [s[keep], s[other]]
     if not qs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     q, y, s = np.concatenate(qs), np.concatenate(xs), np.concatenate(ss)
     first = np.unique(q * np.int64(len(asking)) + y, return_index=True)[1]
     q, y, s = q[first], y[first], s[first]
-    keep = _best(q, y, s, k)
+    keep = _best(q, s, k)
     return q[keep], y[keep], s[keep]
 
 
+ROUTED = "shard bigint, g bigint, cls bigint, own boolean, vec binary"
+
+
+def _placed(tree: Tree, batch: pa.RecordBatch, margin: float, first: int = 0):
+    """The rows of a batch (shard, g, cls, own, vec) once for each leaf of the tree that they must see; shard becomes first + leaf."""
+    x = unpacked(batch.column("vec").to_pylist()).astype(np.float32)
+    before = batch.column("own").to_numpy(zero_copy_only=False)
+    for leaf, at, own in tree.visits(x, margin):
+        take = pa.array(at)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), first + leaf)), batch.column("g").take(take), batch.column("cls").take(take), pa.array(own & before[at]), batch.column("vec").take(take)], ["shard", "g", "cls", "own", "vec"])
+
+
+def _routed(classes: DataFrame, sample: list[bytes], n: int, margin: float) -> DataFrame:
+    """ROUTED rows of n classes (g, cls, vec): each in the shard it is indexed in (own), and in those it must ask."""
+    spark = classes.sparkSession
+    shards, most = max(1, math.ceil(n / SHARD)), max(1, SAMPLE // LEAF_SAMPLE)
+    x = unpacked(sample).astype(np.float32) if sample else np.zeros((0, 1), np.float32)
+    shared = spark.sparkContext.broadcast(Tree(x, max(LEAF_SAMPLE, math.ceil(len(x) / shards)), margin))  # at most SAMPLE / LEAF_SAMPLE points
+
+    def route(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield from _placed(shared.value, batch, margin)
+
+    rows = classes.select(F.lit(0).cast("bigint").alias("shard"), "g", "cls", F.lit(True).alias("own"), "vec").mapInArrow(route, ROUTED)
+    if shards <= most:
+        return rows
+    rows = materialize(rows, "vector-leaves")
+    share, each = min(1.0, SAMPLE * most / n), math.ceil(n / most)
+
+    def fit(table: pa.Table) -> pa.Table:
+        x = unpacked(table.column("vec").to_pylist()[: 2 * SAMPLE]).astype(np.float32)
+        tree = Tree(x, max(LEAF_SAMPLE, math.ceil(len(x) * SHARD / max(1, len(x) / share))), margin)
+        return pa.table({"shard": table.column("shard").slice(0, 1), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    picked = rows.where(F.col("own") & (F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
+    trees = materialize(picked.groupBy("shard").applyInArrow(fit, "shard bigint, tree binary"), "vector-trees")
+    parts = math.ceil(each / DEALT)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(parts)).cast("int")).withColumn("tree", F.lit(None).cast("binary"))
+    heads = trees.select("shard", F.lit(None).cast("bigint").alias("g"), F.lit(None).cast("bigint").alias("cls"), F.lit(None).cast("boolean").alias("own"), F.lit(None).cast("binary").alias("vec"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "tree")
+
+    def again(batches):
+        """A leaf's tree comes before its rows; a leaf without one is a shard as it is."""
+        tree, leaf = None, None
+        for batch in batches:
+            at = batch.column("shard").to_numpy()
+            blobs = batch.column("tree").is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | blobs[1:] | blobs[:-1])))
+            for a, b in zip(edges, [*edges[1:], len(at)]):
+                if blobs[a]:
+                    tree, leaf = pickle.loads(batch.column("tree")[a].as_py()), at[a]
+                elif leaf == at[a]:
+                    yield from _placed(tree, batch.slice(a, b - a), margin, (int(at[a]) + 1) << 32)
+                else:
+                    yield batch.slice(a, b - a).select(["shard", "g", "cls", "own", "vec"])
+
+    both = heads.unionByName(dealt).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("tree").isNull())
+    return both.select("shard", "g", "cls", "own", "vec", "tree").mapInArrow(again, ROUTED)
+
+
 def neighbour_pairs(vectors: DataFrame, k: int = NEIGHBOURS, least: float = LEAST, factor: float = FACTOR, label: Column | None = None) -> DataFrame:
     """(grp, id_a, id_b), id_a < id_b, each once: one is in the other's list. A list holds the at most k other ids of the same group with
     the highest cosine of at least `least`, smaller ids first among equals.
@@ -222,51 +308,38 @@ def neighbour_pairs(vectors: DataFrame, k: int = NEIGHBOURS, least: float = LEAS
         raise ValueError("factor must be in (0, 1], least in (-1, 1], k at least 1")
     radius = math.sqrt(2 - 2 * least)
     margin, local = factor * radius, min(1.0, LOCAL * factor) * radius
+    vectors = materialize(vectors, "vectors")  # parsed once
     members = vectors.groupBy("grp", "id").agg(F.min(F.struct("at", "cls")).alias("m")).select("grp", "id", F.col("m.cls").alias("cls"))
-    members = materialize(members, "vector-members").withColumn("key", F.struct("grp", "cls"))
-    heads = heads_of(members, "key", "id", k + 1).groupBy("grp", "cls").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    kept = vectors.groupBy("grp", "cls").agg(F.min("vec").alias("vec"))
-    classes = materialize(kept.join(heads, ["grp", "cls"]), "vector-classes")
-    n = classes.count()
-    shards = max(1, math.ceil(n / SHARD))
-    part = min(1.0, SAMPLE / max(n, 1))
-    rows = classes.where(F.pmod(F.xxhash64("grp", "cls"), F.lit(1 << 20)) < int(part * (1 << 20))).select("vec").limit(2 * SAMPLE).collect()
-    sample = unpacked([r.vec for r in rows]) if rows else np.zeros((0, 1), np.float32)
-    routing = classes.sparkSession.sparkContext.broadcast(Tree(sample, max(LEAF_SAMPLE, math.ceil(len(sample) / shards)), margin))  # at most SAMPLE / LEAF_SAMPLE points
-
-    def route(batches):
-        tree = routing.value
-        for batch in batches:
-            raw = batch.column(2)
-            if not batch.num_rows:
-                continue
-            x = unpacked(raw.to_pylist())
-            for leaf, at, own in tree.visits(x, margin):
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), leaf, np.int32)), batch.column(0).take(take), batch.column(1).take(take), pa.array(own), raw.take(take)], ["shard", "grp", "cls", "own", "vec"])
+    members = materialize(members, "vector-members")
+    heads = materialize(heads_of(members, "cls", "id", k + 1).groupBy("cls").agg(F.first("grp").alias("grp"), F.array_sort(F.collect_list("id")).alias("ids")), "vector-classes")
+    n = heads.count()
+    share = min(1.0, SAMPLE / max(n, 1))
+    drawn = vectors.where(F.pmod(F.xxhash64("grp", "id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("cls", "vec").limit(2 * SAMPLE).collect()
+    kept = vectors.groupBy("cls").agg(F.max(F.struct(F.xxhash64("grp").alias("g"), "vec")).alias("v")).select("v.g", "cls", "v.vec")
+    kept = kept.join(heads.select("cls"), "cls", "left_semi").select("g", "cls", "vec")  # an id's later vectors don't count
 
     def search(table: pa.Table) -> pa.Table:
         x = unpacked(table.column("vec").to_pylist())
         own = table.column("own").to_numpy()
         i, j, s = search_shard(np.flatnonzero(own), x, least, local, k) if own.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         cls = table.column("cls").to_numpy()
-        return pa.table({"grp": table.column("grp").take(pa.array(i)), "q": cls[i], "x": cls[j], "s": s})
+        return pa.table({"q": cls[i], "x": cls[j], "s": s})
 
-    seen = classes.select("grp", "cls", "vec").mapInArrow(route, "shard int, grp string, cls bigint, own boolean, vec binary").groupBy("shard", "grp").applyInArrow(search, "grp string, q bigint, x bigint, s double")
-    ranked = seen.groupBy("grp", "q", "x").agg(F.max("s").alias("s")).withColumn("r", F.rank().over(Window.partitionBy("grp", "q").orderBy(F.desc("s")))).where(F.col("r") <= k)
-    ids = classes.select("grp", F.col("cls").alias("x"), F.col("ids").alias("theirs"))
-    entry = F.transform("theirs", lambda i: F.struct((-F.col("s")).alias("s"), i.alias("id")))
-    others = ranked.join(ids, ["grp", "x"]).groupBy("grp", F.col("q").alias("cls")).agg(F.flatten(F.collect_list(entry)).alias("others"))
+    routed = _routed(kept, list({r.cls: r.vec for r in drawn}.values()), n, margin)
+    seen = routed.groupBy("shard", "g").applyInArrow(search, "q bigint, x bigint, s double")
+    ranked = seen.groupBy("q", "x").agg(F.max("s").alias("s")).withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(F.col("r") <= k)
+    entry = F.transform("ids", lambda i: F.struct((-F.col("s")).alias("s"), i.alias("id")))
+    others = ranked.join(heads.select(F.col("cls").alias("x"), "ids"), "x").groupBy(F.col("q").alias("cls")).agg(F.flatten(F.collect_list(entry)).alias("others"))
     none = F.array().cast("array<struct<s:double,id:string>>")
     mine = F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("s"), i.alias("id")))
-    lists = classes.select("grp", "cls", "ids").join(others, ["grp", "cls"], "left").select("grp", "cls", "ids", F.slice(F.array_sort(F.concat(mine, F.coalesce("others", none))), 1, k + 1 + k).alias("all"))
+    lists = heads.join(others, "cls", "left").select("grp", "cls", "ids", F.slice(F.array_sort(F.concat(mine, F.coalesce("others", none))), 1, k + 1 + k).alias("all"))
 
     def best(me):
         return F.slice(F.filter("all", lambda e: e["id"] != me), 1, k)
 
     head = lists.select("grp", F.explode("ids").alias("me"), "all").select("grp", "me", F.explode(best(F.col("me"))["id"]).alias("other"))
-    large = lists.where(F.size("ids") > k).select("grp", "cls", "ids", "all")
-    rest = members.select("grp", "cls", F.col("id").alias("me")).join(large, ["grp", "cls"]).where(~F.array_contains("ids", F.col("me"))).select("grp", "me", F.explode(best(F.col("me"))["id"]).alias("other"))
+    large = lists.where(F.size("ids") > k).select("cls", "ids", "all")
+    rest = members.select("grp", "cls", F.col("id").alias("me")).join(large, "cls").where(~F.array_contains("ids", F.col("me"))).select("grp", "me", F.explode(best(F.col("me"))["id"]).alias("other"))
     named = (F.col("grp") if label is None else label).alias("grp")
     return head.unionByName(rest).select(named, F.least("me", "other").alias("id_a"), F.greatest("me", "other").alias("id_b")).distinct()
 

@@ -16,7 +16,7 @@ def lists(rows, least, k):
         mine = sorted({r[1]: r[2] for r in reversed([r for r in rows if r[0] == g])}.items())
         x = np.array([v for _, v in mine], dtype=float)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        s = np.round(x @ x.T, 4)
+        s = np.round(x @ x.T, 6)
         for i, (a, _) in enumerate(mine):
             near = sorted((-s[i, j], b) for j, (b, _) in enumerate(mine) if j != i and s[i, j] >= least)[:k]
             out |= {(g, min(a, b), max(a, b)) for _, b in near}
@@ -48,7 +48,36 @@ def test_neighbours(spark, points, factor, recall, monkeypatch):
     assert len(got) == len(set(got))
     assert len(want & set(got)) >= recall * len(want)
     if factor == 1.0:
-        assert len(set(got) - want) <= 0.01 * len(want)  # cosines within the packing's error of each other
+        assert set(got) == want
+
+
+def test_exact_at_the_border(spark):
+    """At factor one, pairs within 1e-5 of the least cosine and of each other are told apart as brute force does."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for c in range(12):
+        x = rng.normal(size=64)
+        x /= np.linalg.norm(x)
+        for j in range(9):
+            y = rng.normal(size=64)
+            y -= (y @ x) * x
+            y /= np.linalg.norm(y)
+            s = (0.85 if c % 2 else 0.93) + (j - 4) * 3e-6
+            rows.append(("g", f"v{c:02d}_{j}", s * x + np.sqrt(1 - s * s) * y))
+        rows.append(("g", f"v{c:02d}_x", x))
+    df = spark.createDataFrame([(g, i, v.tolist(), "2025-01-01") for g, i, v in rows], "g string, memory_id string, v array<double>, t string")
+    got = {tuple(r) for r in vectors.neighbour_pairs(vectors.usable_vectors(df, "g", "memory_id", "v", "t"), factor=1.0).collect()}
+    assert got == lists(rows, 0.85, 5) and len(got) >= 100
+
+
+@pytest.mark.parametrize("factor,recall", [(1.0, 1.0), (vectors.FACTOR, 0.9)])
+def test_two_levels_of_routing(spark, points, factor, recall, monkeypatch):
+    for name, value in (("SHARD", 10), ("SAMPLE", 60), ("LEAF_SAMPLE", 10), ("BUCKET", 8), ("DEALT", 20)):
+        monkeypatch.setattr(vectors, name, value)
+    df = spark.createDataFrame([(g, i, v.tolist(), "2025-01-01") for g, i, v in points], "g string, memory_id string, v array<float>, t string")
+    got = [tuple(r) for r in vectors.neighbour_pairs(vectors.usable_vectors(df, "g", "memory_id", "v", "t"), factor=factor).collect()]
+    want = lists(points, 0.85, 5)
+    assert len(got) == len(set(got)) and len(want & set(got)) >= recall * len(want) and (factor < 1 or set(got) == want)
 
 
 def test_copies_and_json(spark):
