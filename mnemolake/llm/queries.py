@@ -12,8 +12,8 @@ from ._common import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    usable = vectors.both_collections(table(spark, d, "chunks"), table(spark, d, "embedding_cache"))
-    return vectors.neighbour_pairs(usable, label=F.split("grp", ":", 2)[0]).withColumnRenamed("grp", "collection")
+    both = table(spark, d, "chunks"), table(spark, d, "embedding_cache")
+    return vectors.neighbour_pairs(vectors.both_collections(*both), label=F.split("grp", ":", 2)[0], sampled=lambda share: vectors.both_collections(*both, share)).withColumnRenamed("grp", "collection")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

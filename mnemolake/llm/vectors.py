@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import math
 import pickle
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql.window import Window
 from ._common import heads_of, materialize, signed
 
 #: Vectors the routing tree is fitted on at most, vectors of a shard aimed at, sample vectors of a leaf at least.
-SAMPLE, SHARD, LEAF_SAMPLE = 32_768, 20_000, 24
+SAMPLE, SHARD, LEAF_SAMPLE = 32_768, 32_000, 24
 #: Vectors of a bucket, vantage points tried for a split.
 BUCKET, TRIED = 256, 48
 #: Part of the radius that the triangle inequality is relaxed to: between shards, where a visit costs a copy of the vector, and
@@ -294,31 +295,45 @@ def _routed(classes: DataFrame, sample: list[bytes], n: int, margin: float) -> D
     return both.select("shard", "g", "cls", "own", "vec", "tree").mapInArrow(again, ROUTED)
 
 
-def neighbour_pairs(vectors: DataFrame, k: int = NEIGHBOURS, least: float = LEAST, factor: float = FACTOR, label: Column | None = None) -> DataFrame:
+def neighbour_pairs(vectors: DataFrame, k: int = NEIGHBOURS, least: float = LEAST, factor: float = FACTOR, label: Column | None = None, sampled: Callable[[float], DataFrame] | None = None) -> DataFrame:
     """(grp, id_a, id_b), id_a < id_b, each once: one is in the other's list. A list holds the at most k other ids of the same group with
     the highest cosine of at least `least`, smaller ids first among equals.
 
-    label: what the result calls a group, from column grp (its name if not given).
+    label: what the result calls a group, from column grp (its name if not given). sampled: vectors of a share of the rows by hash, if
+    they can be had without parsing the others.
 
     vectors: as usable_vectors returns them. An id counts once, with its earliest vector. Equal vectors are one class: one
-    of them is searched, and the list of each copy is the smallest other ids of its class, then those of the others;
+    of them is searched (a few if tasks hold copies; they meet in their shard), and the list of each copy is the smallest other ids of its class, then those of the others;
     a class of any size costs each of its copies k rows.
     """
     if not 0 < factor <= 1 or not -1 < least <= 1 or k < 1:
         raise ValueError("factor must be in (0, 1], least in (-1, 1], k at least 1")
     radius = math.sqrt(2 - 2 * least)
     margin, local = factor * radius, min(1.0, LOCAL * factor) * radius
-    vectors = materialize(vectors, "vectors")  # parsed once
-    members = vectors.groupBy("grp", "id").agg(F.min(F.struct("at", "cls")).alias("m")).select("grp", "id", F.col("m.cls").alias("cls"))
-    members = materialize(members, "vector-members")
+    rows = materialize(vectors.select("grp", "id", "at", "cls").distinct(), "vector-rows")
+    members = materialize(rows.groupBy("grp", "id").agg(F.min(F.struct("at", "cls")).alias("m")).select("grp", "id", F.col("m.cls").alias("cls")), "vector-members")
     heads = materialize(heads_of(members, "cls", "id", k + 1).groupBy("cls").agg(F.first("grp").alias("grp"), F.array_sort(F.collect_list("id")).alias("ids")), "vector-classes")
+    dead = rows.select("cls").distinct().join(heads, "cls", "left_anti")  # those of later vectors of an id only
     n = heads.count()
     share = min(1.0, SAMPLE / max(n, 1))
-    drawn = vectors.where(F.pmod(F.xxhash64("grp", "id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("cls", "vec").limit(2 * SAMPLE).collect()
-    kept = vectors.groupBy("cls").agg(F.max(F.struct(F.xxhash64("grp").alias("g"), "vec")).alias("v")).select("v.g", "cls", "v.vec")
-    kept = kept.join(heads.select("cls"), "cls", "left_semi").select("g", "cls", "vec")  # an id's later vectors don't count
+    some = F.pmod(F.xxhash64("grp", "id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    drawn = (sampled(share) if sampled else vectors.where(some)).select("cls", "vec").limit(2 * SAMPLE).collect()
+    alive = vectors.join(dead, "cls", "left_anti").select("grp", "cls", "vec")
+
+    def first(batches):
+        """A task's rows with each class once: a class of many copies has a row for each task, not for each copy."""
+        seen: set[int] = set()
+        for batch in batches:
+            cls = batch.column(1).to_numpy()
+            at = np.unique(cls, return_index=True)[1]
+            at = np.array([i for i in at if cls[i] not in seen], dtype=np.int64)
+            seen.update(cls[at].tolist())
+            yield batch.take(pa.array(at))
+
+    kept = alive.mapInArrow(first, "grp string, cls bigint, vec binary").select(F.xxhash64("grp").alias("g"), "cls", "vec")
 
     def search(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.unique(table.column("cls").to_numpy(), return_index=True)[1]))
         x = unpacked(table.column("vec").to_pylist())
         own = table.column("own").to_numpy()
         i, j, s = search_shard(np.flatnonzero(own), x, least, local, k) if own.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -327,7 +342,8 @@ def neighbour_pairs(vectors: DataFrame, k: int = NEIGHBOURS, least: float = LEAS
 
     routed = _routed(kept, list({r.cls: r.vec for r in drawn}.values()), n, margin)
     seen = routed.groupBy("shard", "g").applyInArrow(search, "q bigint, x bigint, s double")
-    ranked = seen.groupBy("q", "x").agg(F.max("s").alias("s")).withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(F.col("r") <= k)
+    # one shuffle by q serves both the groups (q, x) and the ranks within q
+    ranked = seen.repartition("q").groupBy("q", "x").agg(F.max("s").alias("s")).withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(F.col("r") <= k)
     entry = F.transform("ids", lambda i: F.struct((-F.col("s")).alias("s"), i.alias("id")))
     others = ranked.join(heads.select(F.col("cls").alias("x"), "ids"), "x").groupBy(F.col("q").alias("cls")).agg(F.flatten(F.collect_list(entry)).alias("others"))
     none = F.array().cast("array<struct<s:double,id:string>>")
@@ -344,8 +360,9 @@ def neighbour_pairs(vectors: DataFrame, k: int = NEIGHBOURS, least: float = LEAS
     return head.unionByName(rest).select(named, F.least("me", "other").alias("id_a"), F.greatest("me", "other").alias("id_b")).distinct()
 
 
-def both_collections(chunks: DataFrame, cache: DataFrame) -> DataFrame:
-    """The usable vectors of chunks, one group, and of the embedding cache, a group for each namespace."""
-    a = usable_vectors(chunks.withColumn("_grp", F.lit("chunk")), "_grp", "memory_id", "content_embedding", "ingested_at")
-    b = usable_vectors(cache.withColumn("_grp", F.concat(F.lit("cache:"), "namespace_id")), "_grp", "cache_key", "vector_json", "created_at")
+def both_collections(chunks: DataFrame, cache: DataFrame, share: float = 1.0) -> DataFrame:
+    """The usable vectors of chunks, one group, and of the embedding cache, a group for each namespace; of a share of the ids, by hash, if given."""
+    some = lambda ident: F.pmod(F.xxhash64(ident), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    a = usable_vectors(chunks.where(some("memory_id")).withColumn("_grp", F.lit("chunk")), "_grp", "memory_id", "content_embedding", "ingested_at")
+    b = usable_vectors(cache.where(some("cache_key")).withColumn("_grp", F.concat(F.lit("cache:"), "namespace_id")), "_grp", "cache_key", "vector_json", "created_at")
     return a.unionByName(b)
