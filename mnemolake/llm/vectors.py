@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from ._common import heads_of, materialize, signed
 
 #: Vectors the routing tree is fitted on at most, vectors of a shard aimed at, sample vectors of a leaf at least.
-SAMPLE, SHARD, LEAF_SAMPLE = 32_768, 32_000, 24
+SAMPLE, SHARD, LEAF_SAMPLE = 32_768, 20_000, 24
 #: Vectors of a bucket, vantage points tried for a split.
 BUCKET, TRIED = 256, 48
 #: Part of the radius that the triangle inequality is relaxed to: between shards, where a visit costs a copy of the vector, and
@@ -42,6 +42,8 @@ FACTOR, LOCAL = 0.05, 2.5
 SCALE = (1 << 23) - 1
 #: What a cosine in single precision is off by at most.
 SINGLE = 1e-5
+#: Keys of a table that is broadcast at most; partitions that shards are dealt to at most.
+SMALL, PARTITIONS = 500_000, 20_000
 #: Pairs scored again at once.
 SLAB = 1 << 17
 #: Vectors of a coarse leaf that one task gives their shards, about.
@@ -313,12 +315,14 @@ def neighbour_pairs(vectors: DataFrame, k: int = NEIGHBOURS, least: float = LEAS
     rows = materialize(vectors.select("grp", "id", "at", "cls").distinct(), "vector-rows")
     members = materialize(rows.groupBy("grp", "id").agg(F.min(F.struct("at", "cls")).alias("m")).select("grp", "id", F.col("m.cls").alias("cls")), "vector-members")
     heads = materialize(heads_of(members, "cls", "id", k + 1).groupBy("cls").agg(F.first("grp").alias("grp"), F.array_sort(F.collect_list("id")).alias("ids")), "vector-classes")
-    dead = rows.select("cls").distinct().join(heads, "cls", "left_anti")  # those of later vectors of an id only
+    dead = materialize(rows.select("cls").distinct().join(heads, "cls", "left_anti"), "vector-dead")  # those of later vectors of an id only
     n = heads.count()
     share = min(1.0, SAMPLE / max(n, 1))
     some = F.pmod(F.xxhash64("grp", "id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
     drawn = (sampled(share) if sampled else vectors.where(some)).select("cls", "vec").limit(2 * SAMPLE).collect()
-    alive = vectors.join(dead, "cls", "left_anti").select("grp", "cls", "vec")
+    many = dead.count()
+    alive = vectors if not many else vectors.join(F.broadcast(dead) if many <= SMALL else dead, "cls", "left_anti")
+    alive = alive.select("grp", "cls", "vec")
 
     def first(batches):
         """A task's rows with each class once: a class of many copies has a row for each task, not for each copy."""
@@ -341,7 +345,8 @@ def neighbour_pairs(vectors: DataFrame, k: int = NEIGHBOURS, least: float = LEAS
         return pa.table({"q": cls[i], "x": cls[j], "s": s})
 
     routed = _routed(kept, list({r.cls: r.vec for r in drawn}.values()), n, margin)
-    seen = routed.groupBy("shard", "g").applyInArrow(search, "q bigint, x bigint, s double")
+    parts = min(PARTITIONS, max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * math.ceil(n / SHARD)))
+    seen = routed.repartition(parts, "shard", "g").groupBy("shard", "g").applyInArrow(search, "q bigint, x bigint, s double")
     # one shuffle by q serves both the groups (q, x) and the ranks within q
     ranked = seen.repartition("q").groupBy("q", "x").agg(F.max("s").alias("s")).withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(F.col("r") <= k)
     entry = F.transform("ids", lambda i: F.struct((-F.col("s")).alias("s"), i.alias("id")))
