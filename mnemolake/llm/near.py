@@ -1,7 +1,7 @@
 """Groups of records that share most of their wording, without pairwise comparison of the collection.
 
 1. Each record is its set of distinct words; records with equal sets are one class, and only one of a class goes on.
-2. A fixed-size count sketch of how many classes hold each word gives a global order, rare words first. Two sets whose
+2. A count sketch of how many classes hold each word, sized by the corpus up to a bound, gives a global order, rare words first. Two sets whose
    Jaccard similarity is at least t share a word among the first n - ceil(t n) + 1 of each (prefix filter, exact), so sets
    meet under their prefix words. A word held by one class only can't be shared and is skipped.
 3. Sets that meet are compared bit-sliced: each has a sketch of 256 parity bits (one per word hash). The Hamming distance
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ._common import common_count, components, expand, materialize, set_keys, signed, slices, word_sets
 
 SLICE = 2_000_000
-#: Cells of the count sketch and blocks it is added up in; fixed, whatever the corpus.
-CELLS, BLOCKS = 1 << 20, 256
+#: Cells of the count sketch, least and most (64 MB), and blocks it is added up in. A small sketch costs comparisons, never pairs.
+CELLS, MOST, BLOCKS = 1 << 20, 1 << 24, 256
 #: Parity bits of a sketch.
 BITS = 256
 #: Classes that meet under one word in one task. A word held by more is dealt to pairs of sub-groups of this size.
@@ -63,15 +63,20 @@ def classes_of(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     return words.groupBy("cls").agg(F.max(F.struct("n", "words")).alias("s")).select("cls", "s.n", "s.words"), words.select("cls", "id").distinct()
 
 
-def count_sketch(classes: DataFrame) -> np.ndarray:
-    """How many classes hold the words of each of CELLS cells. Added up per block of cells; CELLS numbers reach the driver."""
-    width = CELLS // BLOCKS
+def cells_for(classes: int) -> int:
+    """Cells of the sketch of a number of classes: a power of two, four a class within the bounds."""
+    return max(CELLS, min(MOST, 1 << (4 * classes - 1).bit_length() if classes else 1))
+
+
+def count_sketch(classes: DataFrame, cells: int = CELLS) -> np.ndarray:
+    """How many classes hold the words of each of the cells. Added up per block of cells; `cells` numbers reach the driver."""
+    width = cells // BLOCKS
 
     def count(batches):
-        total = np.zeros(CELLS, dtype=np.int64)
+        total = np.zeros(cells, dtype=np.int64)
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32)
-            total += np.bincount(x % CELLS, minlength=CELLS)
+            total += np.bincount(x % cells, minlength=cells)
         rows = [(b, zlib.compress(total[b * width : (b + 1) * width].astype(np.uint32).tobytes(), 1)) for b in range(BLOCKS) if total[b * width : (b + 1) * width].any()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "counts"])
@@ -83,12 +88,49 @@ def count_sketch(classes: DataFrame) -> np.ndarray:
         return pd.DataFrame({"block": [key[0]], "counts": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
 
     parts = classes.select("words").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
-    out = np.zeros(CELLS, dtype=np.uint32)
+    out = np.zeros(cells, dtype=np.uint32)
     for r in parts.collect():  # BLOCKS rows of a fixed size
         out[r.block * width : (r.block + 1) * width] = np.frombuffer(r["counts"], np.uint32)
     return out
 
 
+def _prefix(words: np.ndarray, bounds: np.ndarray, counts: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, its count in the sketch, row) of the prefix words of each set that may be held by another set too."""
+    size = np.diff(bounds)
+    row = np.repeat(np.arange(len(size)), size)
+    held = counts[words % len(counts)]
+    order = np.lexsort((words, held, row))
+    words, held = words[order], held[order]
+    place = np.arange(len(words)) - np.repeat(bounds[:-1], size)
+    take = (place < np.repeat(size - np.ceil(t * size - 1e-9).astype(np.int64) + 1, size)) & (held > 1)
+    return words[take], held[take], row[take]
+
+
+def crowded_words(classes: DataFrame, sketch: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(words in order, exact numbers of classes) of the words that stand in the prefixes of more than CROWD classes. There are at most
+    prefix words / CROWD of them; words whose cells of the sketch hold less aren't counted.
+    """
+    none = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    if sketch.max(initial=0) <= CROWD:
+        return none
+    shared = classes.sparkSession.sparkContext.broadcast(sketch)
+
+    def run(batches):
+        for batch in batches:
+            raw = batch.column(0).to_pylist()
+            bounds = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw])))
+            words, held, _ = _prefix(np.frombuffer(b"".join(raw), np.uint32), bounds, shared.value, t)
+            w, n = np.unique(words[held > CROWD], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(n)], ["word", "n"])
+
+    many = classes.select("words").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > CROWD).toArrow()
+    if not many.num_rows:
+        return none
+    w, n = many.column("word").to_numpy().astype(np.uint32), many.column("n").to_numpy()
+    order = np.argsort(w)
+    return w[order], n[order]
+
+
 def parity_sketch(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """BITS parity bits of each set as bytes (n, BITS / 8)."""
     bit = (words * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.int64)
@@ -101,27 +143,22 @@ def prefix_rows(classes: DataFrame, sketch: np.ndarray, t: float) -> DataFrame:
     """(word, x, y, cls, n, bits) of each class under each of its prefix words held by another class too. x and y tell the
     pair of sub-groups of a crowded word that the row serves; 0 and 0 for others.
     """
-    shared = classes.sparkSession.sparkContext.broadcast(sketch)  # CELLS numbers, whatever the corpus
+    shared = classes.sparkSession.sparkContext.broadcast((sketch, *crowded_words(classes, sketch, t)))  # of a bounded size, and of words / CROWD
 
     def run(batches):
-        counts = shared.value
+        counts, crowded, exact = shared.value
         for batch in batches:
             raw = batch.column(2).to_pylist()
-            words = np.frombuffer(b"".join(raw), np.uint32)
-            size = np.array([len(x) // 4 for x in raw])
-            bounds = np.concatenate(([0], np.cumsum(size)))
-            row = np.repeat(np.arange(len(raw)), size)
-            held = counts[words % CELLS]
-            order = np.lexsort((words, held, row))
-            words, held = words[order], held[order]
-            place = np.arange(len(words)) - np.repeat(bounds[:-1], size)
-            take = (place < np.repeat(size - np.ceil(t * size - 1e-9).astype(np.int64) + 1, size)) & (held > 1)
-            words, held, row = words[take], held[take], row[take]
-            bits = parity_sketch(np.frombuffer(b"".join(raw), np.uint32), bounds)
+            every = np.frombuffer(b"".join(raw), np.uint32)
+            bounds = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw])))
+            words, _, row = _prefix(every, bounds, counts, t)
+            bits = parity_sketch(every, bounds)
             cls, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            groups = -(-held.astype(np.int64) // CROWD)
-            mine = (cls[row].view(np.uint64) >> np.uint64(40)).astype(np.int64) % groups
-            many = np.where(groups > 1, groups, 1)
+            many = np.ones(len(words), np.int64)
+            if len(crowded):
+                at = np.minimum(np.searchsorted(crowded, words), len(crowded) - 1)
+                many = np.where(crowded[at] == words, -(-exact[at] // CROWD), 1)
+            mine = (cls[row].view(np.uint64) >> np.uint64(40)).astype(np.int64) % many
             at = np.repeat(np.arange(len(row)), many)
             other = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
             x, y = np.minimum(mine[at], other), np.maximum(mine[at], other)
@@ -282,11 +319,10 @@ def similar_classes(df: DataFrame, ident: str, text: str, t: float = 0.8, least:
     """
     if not 0 < t <= 1:
         raise ValueError("t must be above 0 and at most 1")
-    words = word_table(df, ident, text, max(1, least))
-    classes, _ = classes_of(words)
+    classes, members = classes_of(materialize(word_table(df, ident, text, max(1, least)), "word-table"))  # texts are cut into words once
     classes = materialize(classes, "word-classes")
-    members = materialize(words.select("cls", "id").distinct(), "word-members")
-    rows = prefix_rows(classes, count_sketch(classes), t)
+    members = materialize(members, "word-members")
+    rows = prefix_rows(classes, count_sketch(classes, cells_for(classes.count())), t)
     met = rows.repartition(F.col("word"), F.col("x"), F.col("y")).sortWithinPartitions("word", "x", "y", "n", "cls")
     pairs = materialize(met.mapInArrow(_meet(t), "a bigint, b bigint").distinct(), "word-pairs")
     return _verify(pairs, classes, t), members
