@@ -106,6 +106,7 @@ def objective(values: dict[str, Column]) -> Column:
 def gate(metrics: dict[str, float]) -> dict[str, bool]:
     """Whether a trained ranker may be used: recall, its gain over dense overall and by type, and stability over folds."""
     return {
+        # fixed values: thresholds of the gate
         "recall": metrics["recall_all_5"] >= 0.90, "gain": metrics["recall_all_5"] - metrics["dense_recall_all_5"] >= 0.02, "macro": metrics["macro_gain"] >= 0.0,
         "worst": metrics["worst_gain"] >= -0.03, "stable": metrics["fold_stddev"] <= 0.20, "head": metrics.get("top10_preserved", 1.0) >= 1.0,
     }

@@ -84,22 +84,26 @@ def anchor(semantic: Column, lexical_score: Column, ws: float = 0.8, wl: float =
     return clamp01((F.lit(ws) * clamp01(semantic) + F.lit(wl) * clamp01(lexical_score)) / F.lit(ws + wl))
 
 
-def guarded(scored: DataFrame, k: int, margin: float = 0.02, head: int = 5, protect: int = 4, keep: int = 10) -> DataFrame:
-    """rank_no of the guarded rerank of each question, first k.
+def guarded(scored: DataFrame, k: int, margin: float | Column = 0.02, head: int = 5, protect: int | Column = 4, keep: int = 10, by: tuple[str, ...] = ("question_id",)) -> DataFrame:
+    """rank_no of the guarded rerank of each group (a question), first k.
 
     scored: question_id, memory_id, ord, dense, anchor, score. The first `protect` by dense stay in the head of `head` rows; a row
     of dense rank head+1..keep takes an open place only with a score of at least margin above the lowest unprotected one of
-    the head. Head and tail are ordered by score, anchor and ord; rows behind `keep` follow by the same order.
+    the head. Head and tail are ordered by score, anchor and ord; rows behind `keep` follow by the same order. None of those
+    can be among the first k up to keep, so they are dropped by dense rank, before the shuffle.
     """
-    q = Window.partitionBy("question_id")
+    q = Window.partitionBy(*by)
+    margin, protect = F.lit(margin), F.lit(protect)
     d = scored.withColumn("rd", F.row_number().over(q.orderBy(F.desc("dense"), F.desc("anchor"), F.asc("ord"))))
+    if k <= keep:
+        d = d.where(F.col("rd") <= keep)
     open_head = (F.col("rd") > protect) & (F.col("rd") <= head)
     d = d.withColumn("floor", F.min(F.when(open_head, F.col("score"))).over(q))
     can = open_head | ((F.col("rd") > head) & (F.col("rd") <= keep) & (F.col("score") >= F.col("floor") + margin))
     d = d.withColumn("can", F.coalesce(can, F.lit(False)))
     best = q.orderBy(F.desc("can"), F.desc("score"), F.desc("anchor"), F.asc("ord"))
     d = d.withColumn("place", F.row_number().over(best))
-    chosen = (F.col("rd") <= protect) | (F.col("can") & (F.col("place") <= head - protect))
+    chosen = (F.col("rd") <= protect) | (F.col("can") & (F.col("place") <= F.lit(head) - protect))
     d = d.withColumn("segment", F.when(chosen, 0).when(F.col("rd") <= keep, 1).otherwise(2))
     order = q.orderBy("segment", F.desc("score"), F.desc("anchor"), F.asc("ord"))
     return d.withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= k).drop("floor", "can", "place")

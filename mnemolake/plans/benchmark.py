@@ -150,23 +150,5 @@ def learned_policy_proba(spark, d):
     return f.select("memory_id", *[F.round(F.get(p, F.lit(i)), 6).alias(label.lower()) for i, label in enumerate(model.labels)])
 
 
-@query("tuning_trials")
-def tuning_trials(spark, d):
-    """Mean reciprocal rank of the gold sessions and recall for each fusion of dense and lexical scores, best first by rank."""
-    from pyspark.sql.window import Window
-
-    from .ranking import anchored
-
-    params = F.broadcast(spark.createDataFrame([(t["trial"], float(t["semantic"]), float(t["lexical"])) for t in N.trials(8, 2025)], "trial int, ws double, wl double"))
-    gold = S.samples(spark, d).where(~S.is_abstention() & (F.size("answer_session_ids") > 0)).select("question_id", "answer_session_ids")
-    sessions = S.chunks(spark, d).select("memory_id", "source_session_id")
-    rows = anchored(spark, d).join(gold, "question_id").join(sessions, "memory_id").select("question_id", "memory_id", "dense", "lx", F.coalesce(F.array_contains("answer_session_ids", F.col("source_session_id")), F.lit(False)).alias("gold"))
-    s = rows.crossJoin(params).withColumn("score", F.round(F.col("ws") * F.col("dense") + F.col("wl") * F.col("lx"), 9))
-    rank = F.row_number().over(Window.partitionBy("trial", "question_id").orderBy(F.desc("score"), "memory_id"))
-    per = s.withColumn("r", rank).groupBy("trial", "question_id").agg(F.min(F.when(F.col("gold"), F.col("r"))).alias("first"))
-    t = per.groupBy("trial").agg(F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.coalesce((F.col("first") <= 5).cast("double"), F.lit(0.0))), 6).alias("recall_5"))
-    return t.withColumn("place", F.row_number().over(Window.orderBy(F.desc("recall_5"), F.desc("mrr"), "trial")).cast("bigint"))
-
-
 def aggregate_latency(results: DataFrame, column: str = "latency_ms") -> DataFrame:
     return results.groupBy("system_name").agg(*M.latency(column))

@@ -144,33 +144,15 @@ def candidate_pool_query(spark, d):
     return candidate_pool(anchored(spark, d)).select("question_id", "memory_id", F.round("anchor", 6).alias("anchor"))
 
 
-_SCORED = f"""sc AS (SELECT po.*, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, anchor + 0.06::DOUBLE * tanh(0.10::DOUBLE * ep - 0.05::DOUBLE * greatest(1.0::DOUBLE - ep, CASE WHEN {Q.words_any('content', X.RANKER_STALE_WORDS)} THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END) + 0.20::DOUBLE * CASE WHEN up AND ti THEN 0.9::DOUBLE * ep ELSE 0.0::DOUBLE END))), 9) AS score
- FROM (SELECT po.*, {Q.words_any('content', X.UPDATE_WORDS, True)} AS up, {Q.words_any('question', X.TEMPORAL_WORDS, True)} AS ti, CASE WHEN s IS NULL OR n IS NULL THEN 0.5::DOUBLE ELSE power(0.5::DOUBLE, {_AGE} / 14.0::DOUBLE) END AS ep
- FROM (SELECT po.*, question, {Q.parse_date('source_date')} AS s, {Q.parse_date('question_date')} AS n FROM po JOIN {_Q} q USING (question_id)) po) po)"""
-_GUARD = """g1 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY dense DESC, anchor DESC, ord) AS rd FROM sc),
-g2 AS (SELECT *, min(CASE WHEN rd = 5 THEN score END) OVER (PARTITION BY question_id) AS fl FROM g1),
-g3 AS (SELECT *, coalesce(rd = 5 OR (rd > 5 AND rd <= 10 AND score >= fl + 0.02::DOUBLE), FALSE) AS can FROM g2),
-g4 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY can DESC, score DESC, anchor DESC, ord) AS place FROM g3),
-g5 AS (SELECT *, CASE WHEN rd <= 4 OR (can AND place <= 1) THEN 0 WHEN rd <= 10 THEN 1 ELSE 2 END AS segment FROM g4),
-g6 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY segment, score DESC, anchor DESC, ord) AS rank_no FROM g5)"""
-
-
-def tuned_scores(df, questions_, limit: float = 0.06):
-    """df (question_id, content, source_date, anchor) with score: the anchor and a bounded policy adjustment by age, wording and update markers."""
-    j = df.join(questions_, "question_id")
-    s, n = N.parse_date(F.col("source_date")), N.parse_date(F.col("question_date"))
-    recent = F.when(s.isNull() | n.isNull(), F.lit(0.5)).otherwise(N.episodic_recency(s, n))
-    stale = F.greatest(F.lit(1.0) - recent, F.when(X.contains_any(F.col("content"), X.RANKER_STALE_WORDS), F.lit(0.75)).otherwise(F.lit(0.0)))
-    update = F.when(X.contains_any(F.col("content"), X.UPDATE_WORDS, pad=True) & X.contains_any(F.col("question"), X.TEMPORAL_WORDS, pad=True), F.lit(0.9) * recent).otherwise(F.lit(0.0))
-    delta = F.lit(limit) * F.tanh(F.lit(0.10) * recent - F.lit(0.05) * stale + F.lit(0.20) * update)
-    return j.withColumn("score", F.round(N.clamp01(F.col("anchor") + delta), R.ROUND))
-
-
-@query("guarded_rerank", f"WITH {_ANCHOR}, {_POOL}, {_SCORED}, {_GUARD} SELECT question_id, memory_id, round(score, 6) AS score, rank_no::BIGINT AS rank_no, rd::BIGINT AS dense_rank FROM g6 WHERE rank_no <= 10")
-def guarded_rerank(spark, d):
-    pool = candidate_pool(anchored(spark, d))
-    scored = tuned_scores(pool, questions(spark, d))
-    return _out(R.guarded(scored, K), F.col("rd").cast("bigint").alias("dense_rank"))
+def guard_sql(source: str, part: str = "question_id", margin: str = "0.02::DOUBLE", protect: str = "4") -> str:
+    """Tables g1 to g6 of the guarded rerank of a table; g6 has rank_no and rd."""
+    w = f"OVER (PARTITION BY {part}"
+    return f"""g1 AS (SELECT *, row_number() {w} ORDER BY dense DESC, anchor DESC, ord) AS rd FROM {source}),
+g2 AS (SELECT *, min(CASE WHEN rd > {protect} AND rd <= 5 THEN score END) {w}) AS fl FROM g1),
+g3 AS (SELECT *, coalesce(rd > {protect} AND rd <= 5 OR (rd > 5 AND rd <= 10 AND score >= fl + {margin}), FALSE) AS can FROM g2),
+g4 AS (SELECT *, row_number() {w} ORDER BY can DESC, score DESC, anchor DESC, ord) AS place FROM g3),
+g5 AS (SELECT *, CASE WHEN rd <= {protect} OR (can AND place <= 5 - {protect}) THEN 0 WHEN rd <= 10 THEN 1 ELSE 2 END AS segment FROM g4),
+g6 AS (SELECT *, row_number() {w} ORDER BY segment, score DESC, anchor DESC, ord) AS rank_no FROM g5)"""
 
 
 _SEARCH = "report draft threshold"
