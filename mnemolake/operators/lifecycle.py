@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,35 +31,56 @@ def similar_within(df: DataFrame, t: float, group: str = "question_id", ident: s
     return out.where(F.col("similarity") >= t).select(F.col("g").alias(group), "a", "b", "similarity")
 
 
+def _ordered(df: DataFrame, t: float) -> DataFrame:
+    """(question_id, memory_id, other_before, other_after, similarity): both directions of each t-similar pair, with what decides which one goes."""
+    at = df.select("question_id", "memory_id", F.struct(*[c for c in ("ord", "memory_id", "ts") if c in df.columns]).alias("o"), *([contains_any(F.col("content"), UPDATE_WORDS, pad=True).alias("u")] if "ts" in df.columns else []))
+    p = similar_within(df, t)
+    p = p.join(at.select("question_id", F.col("memory_id").alias("a"), F.struct("*").alias("x")), ["question_id", "a"]).join(at.select("question_id", F.col("memory_id").alias("b"), F.struct("*").alias("y")), ["question_id", "b"])
+    both = F.explode(F.array(F.struct(F.col("x").alias("me"), F.col("y").alias("other")), F.struct(F.col("y").alias("me"), F.col("x").alias("other"))))
+    return p.select("question_id", "similarity", both.alias("e")).select("question_id", F.col("e.me.memory_id").alias("memory_id"), "similarity", F.col("e.me").alias("me"), F.col("e.other").alias("other"))
+
+
+def _earlier() -> Column:
+    return F.struct("other.o.ord", "other.o.memory_id") < F.struct("me.o.ord", "me.o.memory_id")
+
+
+def _replaced() -> Column:
+    return F.coalesce(F.col("other.u") & (F.col("other.o.ts") > F.col("me.o.ts")), F.lit(False))
+
+
 def duplicates(df: DataFrame, t: float = 0.98) -> DataFrame:
     """(question_id, memory_id) of memories t-similar to an earlier one (by ord, then id), itself a duplicate or not."""
-    at = df.select("question_id", "memory_id", F.struct("ord", "memory_id").alias("o"))
-    p = similar_within(df, t)
-    p = p.join(at.toDF("question_id", "a", "oa"), ["question_id", "a"]).join(at.toDF("question_id", "b", "ob"), ["question_id", "b"])
-    return p.select("question_id", F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("memory_id")).distinct()
+    return _ordered(df.select("question_id", "memory_id", "ord", "content"), t).where(_earlier()).select("question_id", "memory_id").distinct()
 
 
 def superseded(df: DataFrame, t: float = 0.55) -> DataFrame:
     """(question_id, memory_id) of memories that have a t-similar one of a strictly later date with an explicit update marker.
 
-    df: question_id, memory_id, content, ts.
+    df: question_id, memory_id, ord, content, ts.
     """
-    at = df.select("question_id", "memory_id", "ts", contains_any(F.col("content"), UPDATE_WORDS, pad=True).alias("update"))
-    p = similar_within(df, t)
-    p = p.join(at.toDF("question_id", "a", "ta", "ua"), ["question_id", "a"]).join(at.toDF("question_id", "b", "tb", "ub"), ["question_id", "b"])
-    old_a = p.where(F.col("ub") & (F.col("tb") > F.col("ta"))).select("question_id", F.col("a").alias("memory_id"))
-    old_b = p.where(F.col("ua") & (F.col("ta") > F.col("tb"))).select("question_id", F.col("b").alias("memory_id"))
-    return old_a.unionByName(old_b).distinct()
+    return _ordered(df, t).where(_replaced()).select("question_id", "memory_id").distinct()
 
 
 def statuses(df: DataFrame, duplicate: float = 0.98, supersede: float = 0.55) -> DataFrame:
-    """df with lifecycle_status: superseded before duplicate before active."""
-    s = superseded(df, supersede).withColumn("_s", F.lit(True))
-    d = duplicates(df, duplicate).withColumn("_d", F.lit(True))
-    out = df.join(s, ["question_id", "memory_id"], "left").join(d, ["question_id", "memory_id"], "left")
+    """df with lifecycle_status: superseded before duplicate before active. One self-join at the lower similarity holds both."""
+    p = _ordered(df, min(duplicate, supersede))
+    flags = p.groupBy("question_id", "memory_id").agg(F.bool_or((F.col("similarity") >= supersede) & _replaced()).alias("_s"), F.bool_or((F.col("similarity") >= duplicate) & _earlier()).alias("_d"))
+    out = df.join(flags, ["question_id", "memory_id"], "left")
     return out.withColumn("lifecycle_status", F.when(F.col("_s"), "superseded").when(F.col("_d"), "duplicate").otherwise("active")).drop("_s", "_d")
 
 
+def _spread(df: DataFrame, block: int) -> DataFrame:
+    """df (question_id, memory_id, ...) with each memory once for each pair (x, y) of blocks of its question that its own block `mine` is in. Questions
+    are counted by an aggregate that is combined before the shuffle, so a hot question doesn't meet in one task.
+    """
+    parts = df.groupBy("question_id").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("parts"))
+    dealt = df.join(parts, "question_id").withColumn("mine", F.pmod(F.xxhash64("memory_id"), F.col("parts")).cast("int"))
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")).drop("parts", "other")
+
+
+_BEST = "question_id string, memory_id string, r double"
+
+
 def redundancy(df: DataFrame, block: int = 512) -> DataFrame:
     """(question_id, memory_id, redundancy): the highest cosine of a memory's vector to another of its question; 0 for a lone one.
 
@@ -68,25 +89,64 @@ def redundancy(df: DataFrame, block: int = 512) -> DataFrame:
     spread over tasks and none holds more than two blocks.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    sized = df.select("question_id", "memory_id", "embedding", F.count("*").over(Window.partitionBy("question_id")).alias("n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
-    dealt = sized.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("memory_id"), F.col("parts")).cast("int"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
-
-    def compare(key, pdf):
-        v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
-        first = (pdf["mine"] == key[1]).to_numpy()
+    def compare(table: pa.Table) -> pa.Table:
+        v = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+        first = table.column("mine").to_numpy() == table.column("x")[0].as_py()
         s = v @ v.T
         np.fill_diagonal(s, -1.0)
-        if key[1] != key[2]:
+        if not first.all():
             s[np.ix_(first, first)] = -1.0
             s[np.ix_(~first, ~first)] = -1.0
-        return pd.DataFrame({"question_id": pdf["question_id"], "memory_id": pdf["memory_id"], "r": np.clip(s.max(axis=1), 0.0, 1.0)})
+        return pa.table({"question_id": table.column("question_id"), "memory_id": table.column("memory_id"), "r": np.clip(s.max(axis=1), 0.0, 1.0)})
+
+    spread = _spread(df.select("question_id", "memory_id", "embedding"), block)
+    best = spread.select("question_id", "memory_id", "embedding", "mine", "x", "y").groupBy("question_id", "x", "y").applyInArrow(compare, _BEST)
+    return best.groupBy("question_id", "memory_id").agg(F.max("r").alias("redundancy"))
+
+
+def blended_redundancy(df: DataFrame, block: int = 512) -> DataFrame:
+    """(question_id, memory_id, redundancy) of the memories without a vector: the highest blended similarity to another memory of the question,
+    0.8 of the contents' terms, 0.1 of the scopes' terms and 0.1 for an equal kind; 0 for a lone one.
 
-    best = spread.groupBy("question_id", "x", "y").applyInPandas(compare, "question_id string, memory_id string, r double")
+    df: question_id, memory_id, content, scope, kind, bare (has no vector). Blocks as in redundancy(); only rows that are bare
+    are compared, with all of their question.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    hashes = lambda c: F.transform(F.array_distinct(terms(c)), lambda t: F.xxhash64(t))
+    sets = df.select("question_id", "memory_id", "kind", "bare", hashes(F.col("content")).alias("words"), hashes(F.col("scope")).alias("places"))
+
+    def shares(bare: list, every: list) -> np.ndarray:
+        """Jaccard similarity of each of bare to each of every; 0 if either is empty."""
+        known = {w: i for i, w in enumerate(dict.fromkeys(w for x in bare for w in x))}
+        held = np.zeros((len(bare), len(known) + 1), np.float32)
+        for i, x in enumerate(bare):
+            held[i, [known[w] for w in x]] = 1.0
+        common = np.stack([held[:, [known.get(w, -1) for w in x]].sum(axis=1) if x else np.zeros(len(bare), np.float32) for x in every], axis=1).astype(np.float64)
+        union = np.array([len(x) for x in bare])[:, None] + np.array([len(x) for x in every])[None] - common
+        return np.divide(common, union, out=np.zeros_like(common), where=(union > 0) & (common > 0))
+
+    def compare(table: pa.Table) -> pa.Table:
+        c = table.to_pydict()
+        bare = np.flatnonzero(c["bare"])
+        pick = lambda k: [c[k][i] for i in bare]
+        if not len(bare):
+            return pa.table({"question_id": pa.array([], pa.string()), "memory_id": pa.array([], pa.string()), "r": pa.array([], pa.float64())})
+        kinds = np.array(c["kind"], dtype=object)
+        s = 0.8 * shares(pick("words"), c["words"]) + 0.1 * shares(pick("places"), c["places"]) + 0.1 * (kinds[bare][:, None] == kinds[None])
+        s[np.arange(len(bare)), bare] = 0.0
+        mine, x, y = np.array(c["mine"]), c["x"][0], c["y"][0]
+        if x != y:
+            s[mine[bare][:, None] == mine[None]] = 0.0
+        return pa.table({"question_id": pick("question_id"), "memory_id": pick("memory_id"), "r": np.clip(s.max(axis=1), 0.0, 1.0)})
+
+    some = sets.where("bare").select("question_id").distinct()
+    spread = _spread(sets.join(some, "question_id", "left_semi"), block)
+    best = spread.groupBy("question_id", "x", "y").applyInArrow(compare, _BEST)
     return best.groupBy("question_id", "memory_id").agg(F.max("r").alias("redundancy"))
 
 

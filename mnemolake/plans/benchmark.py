@@ -137,15 +137,23 @@ def feature_ablation(spark, d):
     return deltas(summary(sample_metrics(run_systems(s, ["rule_policy"], off=off), s)))
 
 
+#: Memories of each label that the model is fitted on at most, by hash of their ids, and passes over them (the training's default).
+EXAMPLES, EPOCHS = 400, 500
+
+
 @query("learned_policy_proba")
 def learned_policy_proba(spark, d):
-    """Probabilities of a model trained on operations that the rule scores give to a bounded set of memories."""
-    from .policy import inputs
+    """Probabilities of a model trained on operations that the rule scores give to a bounded set of memories, EXAMPLES of each label."""
+    from pyspark.sql.window import Window
+
     from mnemolake.functions import policy as P
 
+    from .policy import inputs
+
     f = inputs(spark, d).withColumn("label", F.when(P.decision("write") == "ADD", "ADD").when(P.decision("merge") == "MERGE", "MERGE").otherwise("IGNORE"))
-    few = f.orderBy(F.xxhash64("memory_id"), "memory_id").limit(200).select("label", *P.FEATURES).collect()  # a bounded training sample
-    model = N.PolicyModel.train([(r["label"], r.asDict()) for r in few], ["ADD", "IGNORE", "MERGE"], epochs=50)
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("memory_id"), "memory_id"))
+    few = f.withColumn("r", rank).where(F.col("r") <= EXAMPLES).orderBy("r", "label").select("label", *P.FEATURES).collect()
+    model = N.PolicyModel.train([(r["label"], r.asDict()) for r in few], ["ADD", "IGNORE", "MERGE"], epochs=EPOCHS)
     p = model.columns()
     return f.select("memory_id", *[F.round(F.get(p, F.lit(i)), 6).alias(label.lower()) for i, label in enumerate(model.labels)])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mnemolake.operators import cost as C
 from mnemolake.operators import metrics as M
 from mnemolake.operators import splits as P
 from mnemolake.sources import tables as S
@@ -115,28 +116,37 @@ def latest_provenance(spark, d):
 
 
 _STALE = f"""gd AS (SELECT s.question_id, max({Q.parse_date('dt')}) AS newest FROM (SELECT question_id, answer_session_ids, unnest(haystack_session_ids) AS sid, unnest(haystack_dates) AS dt FROM {Q.SAMPLES} s) s WHERE list_contains(answer_session_ids, sid) GROUP BY 1),
-st AS (SELECT r.method_name, r.question_id, count(*) AS retrieved, count(*) FILTER (NOT coalesce(list_contains(s.answer_session_ids, r.source_session_id), FALSE) AND {_TS} < newest) AS stale FROM {Q.RETRIEVED} r JOIN {Q.SAMPLES} s USING (question_id) JOIN gd USING (question_id) GROUP BY ALL)"""
+rr AS (SELECT r.method_name, r.question_id, r.rank_no, {Q.distinct_terms('content')} AS w, coalesce(list_contains(s.answer_session_ids, r.source_session_id), FALSE) AS own, coalesce({_TS} < newest, FALSE) AS older FROM {Q.RETRIEVED} r JOIN {Q.SAMPLES} s USING (question_id) JOIN gd USING (question_id)),
+gt AS (SELECT DISTINCT question_id, w AS g FROM rr WHERE own AND len(w) > 0),
+nr AS (SELECT DISTINCT rr.method_name, rr.question_id, rr.rank_no FROM rr JOIN gt USING (question_id) WHERE NOT own AND older AND {Q.jaccard('w', 'g')} >= 0.10::DOUBLE),
+st AS (SELECT rr.method_name, rr.question_id, count(*) AS retrieved, count(nr.rank_no) AS stale FROM rr LEFT JOIN nr USING (method_name, question_id, rank_no) GROUP BY ALL)"""
+#: Least similarity of a stale memory to one of a gold session.
+RELATED = 0.10
 
 
 @query("stale_retrievals", f"WITH {_STALE} SELECT method_name, sum(retrieved)::BIGINT AS retrieved, sum(stale)::BIGINT AS stale, round(avg((stale > 0)::INT::DOUBLE), 6) AS stale_rate FROM st GROUP BY 1")
 def stale_retrievals(spark, d):
-    """Retrieved memories outside the gold sessions that are older than the newest gold session."""
+    """Retrieved memories outside the gold sessions that are older than the newest gold session, and about the same as a retrieved gold memory."""
+    from mnemolake.functions import text as X
     from mnemolake.functions.numbers import parse_date
 
     s = S.samples(spark, d)
     pairs = s.select("question_id", "answer_session_ids", F.explode(F.arrays_zip("haystack_session_ids", "haystack_dates")).alias("z"))
     newest = pairs.where(F.array_contains("answer_session_ids", F.col("z.haystack_session_ids"))).groupBy("question_id").agg(F.max(parse_date(F.col("z.haystack_dates"))).alias("newest"))
     r = S.retrieved(spark, d).join(s.select("question_id", "answer_session_ids"), "question_id").join(newest, "question_id")
-    stale = ~F.coalesce(F.array_contains("answer_session_ids", F.col("source_session_id")), F.lit(False)) & (parse_date(F.col("source_date")) < F.col("newest"))
-    per = r.groupBy("method_name", "question_id").agg(F.count("*").alias("n"), F.count_if(stale).alias("stale"))
+    own = F.coalesce(F.array_contains("answer_session_ids", F.col("source_session_id")), F.lit(False))
+    r = r.select("method_name", "question_id", "rank_no", F.array_distinct(X.terms(F.col("content"))).alias("w"), own.alias("own"), F.coalesce(parse_date(F.col("source_date")) < F.col("newest"), F.lit(False)).alias("older"))
+    gold = r.where("own and size(w) > 0").select("question_id", F.col("w").alias("g")).distinct()
+    near = r.where("not own and older").join(gold, "question_id").where(X.jaccard(F.col("w"), F.col("g")) >= RELATED).select("method_name", "question_id", "rank_no", F.lit(1).alias("stale")).distinct()
+    per = r.join(near, ["method_name", "question_id", "rank_no"], "left").groupBy("method_name", "question_id").agg(F.count("*").alias("n"), F.count("stale").alias("stale"))
     return per.groupBy("method_name").agg(F.sum("n").cast("bigint").alias("retrieved"), F.sum("stale").cast("bigint").alias("stale"), F.round(F.avg((F.col("stale") > 0).cast("double")), 6).alias("stale_rate"))
 
 
 # ---------------------------------------------------------------- answers
 
-_QA = f"""pr AS (SELECT output_id, method_name, question_type, abst, {Q.answer_tokens("coalesce(prediction, '')")} AS p, list_transform(golds, lambda g: {Q.answer_tokens("coalesce(g, '')")}) AS gs, {Q.abstains("coalesce(prediction, '')")} AS says, input_tokens, output_tokens, usage FROM (
- SELECT output_id, method_name, coalesce(question_type, 'unknown') AS question_type, o.answer AS prediction, s.answer AS golds, {Q.ABSTENTION.replace('lower(question_id)', 'lower(s.question_id)').replace('(answer,', '(s.answer,')} AS abst, input_tokens, output_tokens, usage FROM {Q.OUTPUTS} o JOIN {Q.SAMPLES} s USING (question_id) WHERE len(s.answer) > 0)),
-qa AS (SELECT output_id, method_name, question_type, abst, input_tokens, output_tokens, usage,
+_QA = f"""pr AS (SELECT output_id, question_id, method_name, question_type, abst, {Q.answer_tokens("coalesce(prediction, '')")} AS p, list_transform(golds, lambda g: {Q.answer_tokens("coalesce(g, '')")}) AS gs, {Q.abstains("coalesce(prediction, '')")} AS says, input_tokens, output_tokens, usage FROM (
+ SELECT output_id, o.question_id, method_name, coalesce(question_type, 'unknown') AS question_type, o.answer AS prediction, s.answer AS golds, {Q.ABSTENTION.replace('lower(question_id)', 'lower(s.question_id)').replace('(answer,', '(s.answer,')} AS abst, input_tokens, output_tokens, usage FROM {Q.OUTPUTS} o JOIN {Q.SAMPLES} s USING (question_id) WHERE len(s.answer) > 0)),
+qa AS (SELECT output_id, question_id, method_name, question_type, abst, input_tokens, output_tokens, usage,
  CASE WHEN NOT abst THEN list_max(list_transform(gs, lambda g: (array_to_string(g, ' ') = array_to_string(p, ' '))::INT::DOUBLE)) END AS exact_match,
  CASE WHEN NOT abst THEN list_max(list_transform(gs, lambda g: CASE WHEN len(p) = 0 OR len(g) = 0 THEN (len(p) = len(g))::INT::DOUBLE ELSE coalesce(2.0::DOUBLE * nullif(coalesce(list_sum(list_transform(list_distinct(list_intersect(p, g)), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda x: x = t))))), 0), 0) / (len(p) + len(g)), 0.0::DOUBLE) END)) END AS token_f1,
  CASE WHEN NOT abst THEN list_max(list_transform(gs, lambda g: CASE WHEN len(g) = 0 THEN (len(p) = 0)::INT::DOUBLE ELSE contains(' ' || array_to_string(p, ' ') || ' ', ' ' || array_to_string(g, ' ') || ' ')::INT::DOUBLE END)) END AS contains_answer,
@@ -161,24 +171,36 @@ def qa_summary(spark, d):
     return M.with_total(judged(spark, d), ["method_name"], "question_type", F.count("*").alias("answers"), F.count_if("abstention").alias("abstentions"), *[M.mean_or_zero(m).alias(m) for m in QA])
 
 
+#: Methods that costs are held against, the first that is there.
+REFERENCE = ("tuned_ranker", "rule_ranker", "dense")
+_USED = {k: "list_sum(list_transform(list_filter(map_entries(usage), lambda e: lower(e.key) IN (" + ", ".join(f"'{n}'" for n in names) + ")), lambda e: greatest(0, e.value)))" for k, names in C.USAGE.items()}
+_MEAN = lambda c: f"round(coalesce(avg({c}), 0.0), 6)"
+_COST = f"""{_QA},
+rq AS (SELECT method_name, question_id, count(*) AS memories, sum(coalesce(token_count, 0)) AS tokens, sum(coalesce(octet_length(encode(content)), 0)) AS bytes, count(DISTINCT memory_id) AS kept, min(retrieved_at) AS began FROM {Q.RETRIEVED} r GROUP BY ALL),
+av AS (SELECT question_id, count(*) AS n FROM {Q.CHUNKS} c WHERE question_id IS NOT NULL GROUP BY 1),
+cr AS (SELECT method_name, count(*) AS samples, {_MEAN('tokens')} AS mean_retrieved_tokens, sum(tokens)::BIGINT AS total_retrieved_tokens, {_MEAN('memories')} AS mean_memory_count, {_MEAN('bytes')} AS mean_storage_bytes, {_MEAN('bytes / 1048576.0::DOUBLE')} AS mean_storage_mb, {_MEAN('(bytes > 0)::INT::DOUBLE')} AS storage_coverage, {_MEAN('CASE WHEN n > 0 THEN kept / n::DOUBLE END')} AS retention_ratio FROM rq LEFT JOIN av USING (question_id) GROUP BY 1),
+qq AS (SELECT qa.*, coalesce(exact_match >= 1, FALSE) OR coalesce(abstention_accuracy >= 1, FALSE) AS ok, {_USED['input']} AS ui, {_USED['output']} AS uo, {_USED['total']} AS ut, CASE WHEN began IS NOT NULL AND made IS NOT NULL THEN greatest(0.0::DOUBLE, (epoch_us(made) - epoch_us(began)) / 1000.0::DOUBLE) END AS ms FROM qa JOIN (SELECT output_id, created_at AS made FROM {Q.OUTPUTS} o) USING (output_id) LEFT JOIN rq USING (method_name, question_id)),
+qu AS (SELECT *, CASE WHEN ui IS NOT NULL OR uo IS NOT NULL OR ut IS NOT NULL THEN coalesce(ut, coalesce(ui, 0) + coalesce(uo, 0)) END AS used FROM qq),
+cq AS (SELECT method_name, count(*) AS qa_samples, count(*) FILTER (ok) AS correct_answers, round(count(*) FILTER (ok) / count(*)::DOUBLE, 6) AS local_accuracy, coalesce(sum(input_tokens), 0)::BIGINT AS total_input_tokens, {_MEAN('coalesce(input_tokens, 0)')} AS mean_input_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS total_output_tokens, {_MEAN('coalesce(output_tokens, 0)')} AS mean_output_tokens, round(quantile_cont(coalesce(output_tokens, 0)::DOUBLE, 0.95), 6) AS p95_output_tokens,
+ sum(coalesce(ui, 0)) FILTER (used IS NOT NULL)::BIGINT AS usage_input_tokens, sum(coalesce(uo, 0)) FILTER (used IS NOT NULL)::BIGINT AS usage_output_tokens, sum(used)::BIGINT AS usage_tokens, round(count(used) / count(*)::DOUBLE, 6) AS usage_coverage,
+ {_MEAN('ms')} AS mean_end_to_end_ms, round(coalesce(quantile_cont(ms, 0.95), 0.0), 6) AS p95_end_to_end_ms, coalesce(sum(ms), 0.0) AS total_ms FROM qu GROUP BY 1),
+cs AS (SELECT method_name, coalesce(samples, 0) AS samples, * EXCLUDE (method_name, samples, total_ms), total_input_tokens + total_output_tokens + coalesce(usage_tokens, 0) AS observed_tokens, round((total_input_tokens + total_output_tokens + coalesce(usage_tokens, 0))::DOUBLE / nullif(correct_answers, 0), 6) AS tokens_per_correct, round(total_ms / nullif(correct_answers, 0), 6) AS ms_per_correct FROM cq LEFT JOIN cr USING (method_name)),
+rf AS (SELECT * FROM cs WHERE method_name IN ({', '.join(repr(m) for m in REFERENCE)}) ORDER BY list_position([{', '.join(repr(m) for m in REFERENCE)}], method_name) LIMIT 1)"""
+
+
 @query(
     "cost_summary",
-    f"""WITH {_QA} SELECT method_name, count(*) AS answers, count(*) FILTER (exact_match >= 1 OR abstention_accuracy >= 1) AS correct, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
-    round(count(*) FILTER (usage['prompt_tokens'] IS NOT NULL)::DOUBLE / count(*), 6) AS usage_coverage, sum(usage['prompt_tokens'] + usage['completion_tokens'])::BIGINT AS observed_tokens,
-    round(sum(input_tokens + output_tokens)::DOUBLE / nullif(count(*) FILTER (exact_match >= 1 OR abstention_accuracy >= 1), 0), 6) AS tokens_per_correct, round(quantile_cont(output_tokens::DOUBLE, 0.95), 6) AS output_p95 FROM qa GROUP BY 1""",
+    f"WITH {_COST} SELECT cs.*, round(cs.mean_end_to_end_ms - rf.mean_end_to_end_ms, 6) AS delta_end_to_end_ms, round(cs.mean_input_tokens + cs.mean_output_tokens - rf.mean_input_tokens - rf.mean_output_tokens, 6) AS delta_reader_tokens, round(cs.mean_memory_count - rf.mean_memory_count, 6) AS delta_memory_count FROM cs LEFT JOIN rf ON TRUE",
 )
 def cost_summary(spark, d):
+    """What each method's answers cost: tokens of evidence, reader and usage reports, time from retrieval to answer, storage, and all of it per correct answer."""
     right = (F.col("exact_match") >= 1) | (F.col("abstention_accuracy") >= 1)
-    used = F.col("usage")["prompt_tokens"]
-    return (
-        judged(spark, d)
-        .groupBy("method_name")
-        .agg(
-            F.count("*").alias("answers"), F.count_if(right).alias("correct"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), M.ratio(F.count_if(used.isNotNull()), F.count("*")).alias("usage_coverage"),
-            F.sum(used + F.col("usage")["completion_tokens"]).alias("observed_tokens"), M.ratio(F.sum(F.col("input_tokens") + F.col("output_tokens")), F.nullif(F.count_if(right), F.lit(0))).alias("tokens_per_correct"),
-            F.round(F.percentile(F.col("output_tokens").cast("double"), F.lit(0.95)), 6).alias("output_p95"),
-        )
-    )
+    r = S.retrieved(spark, d)
+    available = S.chunks(spark, d).where("question_id is not null").groupBy("question_id").agg(F.count("*").alias("available"))
+    per = C.evidence(r).join(available, "question_id", "left")
+    told = judged(spark, d).withColumn("correct", F.coalesce(right, F.lit(False))).join(per.select("method_name", "question_id", "began"), ["method_name", "question_id"], "left")
+    ms = F.greatest(F.lit(0.0), (F.unix_micros("created_at") - F.unix_micros("began")) / F.lit(1000.0))
+    return C.with_deltas(C.summary(per, told.withColumn("end_to_end_ms", F.when(F.col("began").isNotNull() & F.col("created_at").isNotNull(), ms)).withColumn("usage", F.to_json("usage"))), REFERENCE)
 
 
 @query("resume_unanswered", f"SELECT question_id FROM {Q.SAMPLES} s WHERE NOT EXISTS (SELECT 1 FROM reader_outputs o WHERE o.question_id = s.question_id AND o.method_name = 'bm25')")

@@ -27,34 +27,52 @@ def kind():
     return out
 
 
-def features(spark, d):
-    """(memory_id and the query-independent policy features) of memories with content; redundancy is that of usable vectors, else 0."""
+def asked(spark, d):
+    """Memories with content, with their question (empty if there is none) and its target scope: that of the question's first memory."""
     m = S.chunks(spark, d).where("content is not null")
-    now, at, text, k = F.lit(NOW).cast("timestamp"), F.coalesce("source_ts", "ingested_at"), F.col("content"), kind()
-    r = L.redundancy(vectors(spark, d).select("question_id", "memory_id", "embedding")).select("memory_id", "redundancy")
-    m = m.join(r, "memory_id", "left").withColumn("redundancy", F.round(F.coalesce("redundancy", F.lit(0.0)), 5)).withColumn("recency", P.recency(k, at, now)).withColumn("kind", k)
+    target = m.where("question_id is not null").groupBy("question_id").agg(F.min_by(F.coalesce("scope", F.lit("global")), F.struct("ord", "memory_id")).alias("target"))
+    q = S.samples(spark, d).select("question_id", "question")
+    return m.join(target, "question_id", "left").join(q, "question_id", "left").withColumns({"kind": kind(), "target": F.coalesce("target", F.lit("")), "question": F.coalesce("question", F.lit(""))})
+
+
+def features(spark, d):
+    """(memory_id and the policy features) of memories with content. Redundancy: the highest cosine to another vector of the question; for a
+    memory without a usable vector the highest blended similarity to another memory of the question; 0 without a question.
+    """
+    m = asked(spark, d)
+    now, at, text = F.lit(NOW).cast("timestamp"), F.coalesce("source_ts", "ingested_at"), F.col("content")
+    usable = N.usable(F.col("content_embedding"), 64)
+    r = L.redundancy(vectors(spark, d).select("question_id", "memory_id", "embedding"))
+    bare = m.where("question_id is not null").select("question_id", "memory_id", "content", F.coalesce("scope", F.lit("global")).alias("scope"), "kind", (~F.coalesce(usable, F.lit(False))).alias("bare"))
+    r = r.unionByName(L.blended_redundancy(bare)).select("memory_id", "redundancy")
+    m = m.join(r, "memory_id", "left").withColumn("redundancy", F.round(F.coalesce("redundancy", F.lit(0.0)), 5)).withColumn("recency", P.recency(F.col("kind"), at, now))
     relation = F.when(F.col("redundancy") >= 0, F.col("redundancy"))
+    common = X.jaccard(F.array_distinct(X.terms(F.col("question"))), F.array_distinct(X.terms(text)))
     return m.select(
-        "memory_id", "scope", "kind", "redundancy", "recency", N.clamp01(F.coalesce("importance", X.importance(text))).alias("importance"), F.lit(0.85).alias("confidence"), (F.lit(1.0) - F.col("redundancy")).alias("novelty"),
+        "memory_id", "question_id", "scope", "kind", "redundancy", "recency", N.clamp01(F.coalesce("importance", X.importance(text))).alias("importance"), F.lit(0.85).alias("confidence"), (F.lit(1.0) - F.col("redundancy")).alias("novelty"),
         P.stability(text, F.col("kind"), F.col("recency")).alias("stability"), P.staleness(text, F.lit("active"), F.col("recency")).alias("staleness"), P.actionability(text, F.col("kind")).alias("actionability"),
-        P.contradiction(text, F.col("redundancy"), relation).alias("contradiction"), P.scope_match(F.coalesce("scope", F.lit("global")), F.lit("project/alpha")).alias("scope_match"), P.token_cost(text).alias("token_cost"),
+        P.contradiction(text, F.col("redundancy"), relation).alias("contradiction"), P.scope_match(F.coalesce("scope", F.lit("global")), F.col("target")).alias("scope_match"), P.token_cost(text).alias("token_cost"),
+        F.round(common, 9).alias("semantic_relevance"), P.risk(text).alias("privacy_risk"),
     )
 
 
 _WORDED = lambda words, v: f"CASE WHEN {Q.words_any('content', words)} THEN {v}::DOUBLE ELSE 0.0::DOUBLE END"
-_SIM = Q.jaccard(Q.distinct_terms("sc"), Q.distinct_terms("'project/alpha'"))
-_FEATURES = f"""v AS MATERIALIZED (SELECT question_id, memory_id, list_transform(content_embedding, lambda x: x::DOUBLE) AS e FROM {Q.CHUNKS} c WHERE content IS NOT NULL AND question_id IS NOT NULL AND {Q.usable('content_embedding')}),
-rd AS (SELECT a.memory_id, round({Q.clamp('max(list_cosine_similarity(a.e, b.e))')}, 5) AS redundancy FROM v a LEFT JOIN v b ON a.question_id = b.question_id AND a.memory_id <> b.memory_id GROUP BY ALL),
-f0 AS (SELECT c.*, coalesce(rd.redundancy, 0.0::DOUBLE) AS redundancy, {_KIND} AS kind, coalesce(scope, 'global') AS sc, coalesce(source_ts, ingested_at)::TIMESTAMP AS tt FROM {Q.CHUNKS} c LEFT JOIN rd USING (memory_id) WHERE content IS NOT NULL),
+_SIM = Q.jaccard(Q.distinct_terms("sc"), Q.distinct_terms("target"))
+_FEATURES = f"""tg AS (SELECT question_id, arg_min(coalesce(scope, 'global'), (ord, memory_id)) AS target FROM {Q.CHUNKS} c WHERE content IS NOT NULL AND question_id IS NOT NULL GROUP BY 1),
+v AS MATERIALIZED (SELECT question_id, memory_id, list_transform(content_embedding, lambda x: x::DOUBLE) AS e FROM {Q.CHUNKS} c WHERE content IS NOT NULL AND question_id IS NOT NULL AND {Q.usable('content_embedding')}),
+bb AS MATERIALIZED (SELECT question_id, memory_id, {Q.distinct_terms('content')} AS w, {Q.distinct_terms("coalesce(scope, 'global')")} AS p, {_KIND} AS kind, NOT coalesce({Q.usable('content_embedding')}, FALSE) AS bare FROM {Q.CHUNKS} c WHERE content IS NOT NULL AND question_id IS NOT NULL),
+rd AS (SELECT a.memory_id, round({Q.clamp('max(list_cosine_similarity(a.e, b.e))')}, 5) AS redundancy FROM v a LEFT JOIN v b ON a.question_id = b.question_id AND a.memory_id <> b.memory_id GROUP BY ALL
+ UNION ALL SELECT a.memory_id, round({Q.clamp("max(0.8::DOUBLE * " + Q.jaccard("a.w", "b.w") + " + 0.1::DOUBLE * " + Q.jaccard("a.p", "b.p") + " + CASE WHEN a.kind = b.kind THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END)")}, 5) FROM bb a LEFT JOIN bb b ON a.question_id = b.question_id AND a.memory_id <> b.memory_id WHERE a.bare GROUP BY ALL),
+f0 AS (SELECT c.*, coalesce(rd.redundancy, 0.0::DOUBLE) AS redundancy, {_KIND} AS kind, coalesce(scope, 'global') AS sc, coalesce(source_ts, ingested_at)::TIMESTAMP AS tt, coalesce(target, '') AS target, coalesce(sq.question, '') AS question FROM {Q.CHUNKS} c LEFT JOIN rd USING (memory_id) LEFT JOIN tg USING (question_id) LEFT JOIN (SELECT question_id, question FROM {Q.SAMPLES} s) sq USING (question_id) WHERE content IS NOT NULL),
 f1 AS (SELECT *, {Q.clamp("power(0.5::DOUBLE, " + Q.age(f"TIMESTAMP '{NOW}'", "tt") + " / " + Q.by_type("kind", P.HALF_LIFE) + ")")} AS recency FROM f0),
-ft AS (SELECT memory_id, scope, kind, redundancy, recency, {Q.clamp(f"coalesce(importance, {Q.importance('content')})")} AS importance, 0.85::DOUBLE AS confidence, 1.0::DOUBLE - redundancy AS novelty,
+ft AS (SELECT memory_id, question_id, scope, kind, redundancy, recency, {Q.clamp(f"coalesce(importance, {Q.importance('content')})")} AS importance, 0.85::DOUBLE AS confidence, 1.0::DOUBLE - redundancy AS novelty,
  {Q.clamp(Q.by_type('kind', P.STABILITY) + f" - {_WORDED(X.TEMPORARY_WORDS, 0.25)} + 0.12::DOUBLE * (1.0::DOUBLE - recency)")} AS stability,
  {Q.clamp(f"greatest(1.0::DOUBLE - recency, {_WORDED(X.STALE_WORDS, 0.75)})")} AS staleness,
  {Q.clamp(Q.by_type('kind', P.ACTIONABILITY) + f" + {_WORDED(X.ACTION_WORDS, 0.25)} + CASE WHEN len({Q.terms('content')}) >= 12 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END")} AS actionability,
  CASE WHEN {Q.words_any('content', X.CHANGE_WORDS)} THEN CASE WHEN redundancy <= 0 THEN 0.0::DOUBLE ELSE {Q.clamp('0.45::DOUBLE + 0.45::DOUBLE * redundancy')} END ELSE {Q.clamp('0.1::DOUBLE * redundancy')} END AS contradiction,
- CASE WHEN sc = 'project/alpha' THEN 1.0::DOUBLE WHEN sc = 'global' THEN 0.65::DOUBLE WHEN starts_with(sc, 'project/alpha') OR starts_with('project/alpha', sc) THEN 0.85::DOUBLE ELSE {Q.clamp('0.25::DOUBLE + 0.5::DOUBLE * ' + _SIM)} END AS scope_match,
- {Q.clamp(Q.tokens('content') + ' / 2048.0::DOUBLE')} AS token_cost FROM f1)"""
-_NAMES = ("redundancy", "recency", "importance", "novelty", "stability", "staleness", "actionability", "contradiction", "scope_match", "token_cost")
+ CASE WHEN target = '' THEN CASE WHEN sc = 'global' THEN 0.5::DOUBLE ELSE 0.7::DOUBLE END WHEN sc = target THEN 1.0::DOUBLE WHEN sc = 'global' OR target = 'global' THEN 0.65::DOUBLE WHEN starts_with(sc, target) OR starts_with(target, sc) THEN 0.85::DOUBLE ELSE {Q.clamp('0.25::DOUBLE + 0.5::DOUBLE * ' + _SIM)} END AS scope_match,
+ {Q.clamp(Q.tokens('content') + ' / 2048.0::DOUBLE')} AS token_cost, round({Q.jaccard(Q.distinct_terms('question'), Q.distinct_terms('content'))}, 9) AS semantic_relevance, {Q.clamp(Q.privacy('content'))} AS privacy_risk FROM f1)"""
+_NAMES = ("redundancy", "recency", "importance", "novelty", "stability", "staleness", "actionability", "contradiction", "scope_match", "token_cost", "semantic_relevance", "privacy_risk")
 
 
 @query("policy_features", f"WITH {_FEATURES} SELECT memory_id, kind, " + ", ".join(f"round({n}, 5) AS {n}" for n in _NAMES) + " FROM ft")
@@ -67,18 +85,51 @@ def access_frequency(spark, d):
     return S.table(spark, d, "events").where("event_type = 'view'").groupBy("user_id").agg(F.count("*").alias("uses")).select("user_id", "uses", F.round(N.access_frequency(F.col("uses")), 6).alias("frequency"))
 
 
+def contributions(spark, d):
+    """(memory_id, access_frequency, success_contribution, failure_contribution): how often a memory was retrieved for answers, and the shares of
+    those that were right and wrong.
+    """
+    from .evaluation import judged
+
+    right = (F.col("exact_match") >= 1) | (F.col("abstention_accuracy") >= 1)
+    told = judged(spark, d).select("method_name", "question_id", F.coalesce(right, F.lit(False)).cast("double").alias("right"))
+    uses = S.retrieved(spark, d).where("memory_id is not null").select("method_name", "question_id", "memory_id").join(told, ["method_name", "question_id"])
+    g = uses.groupBy("memory_id").agg(F.count("*").alias("n"), F.sum("right").alias("right"))
+    return g.select("memory_id", P.uses(F.col("n")).alias("access_frequency"), (F.col("right") / F.col("n")).alias("success_contribution"), ((F.col("n") - F.col("right")) / F.col("n")).alias("failure_contribution"))
+
+
 def inputs(spark, d):
-    """Features with the inputs that a decision adds: neutral relevance and contributions, similarity from redundancy."""
-    f = features(spark, d)
-    more = {
-        "semantic_relevance": F.lit(0.5), "success_contribution": F.lit(0.0), "failure_contribution": F.lit(0.0), "privacy_risk": F.lit(0.0), "access_frequency": F.lit(0.0), "source_priority": F.lit(0.8),
-        "similarity": F.col("redundancy"), "superseded": (F.col("contradiction") >= P.UPDATE_CONTRADICTION).cast("double"),
-    }
+    """Features with the inputs that a decision adds: what became of the memory, similarity from redundancy, and whether it is superseded."""
+    from .ranking import dated
+
+    f = features(spark, d).join(contributions(spark, d), "memory_id", "left")
+    s = L.superseded(dated(spark, d), 0.55).select("memory_id", F.lit(1.0).alias("superseded"))
+    f = f.join(s, "memory_id", "left")
+    none = ("access_frequency", "success_contribution", "failure_contribution", "superseded")
+    more = {k: F.coalesce(k, F.lit(0.0)) for k in none} | {"source_priority": F.lit(0.8), "similarity": F.col("redundancy")}
     return f.withColumns(more).withColumn("information_density", P.information_density())
 
 
+def _used_sql() -> str:
+    from .evaluation import _QA
+
+    return f"""{_QA}, us AS (SELECT memory_id, count(*) AS n, sum((coalesce(exact_match >= 1, FALSE) OR coalesce(abstention_accuracy >= 1, FALSE))::INT::DOUBLE) AS ok FROM (SELECT method_name, question_id, memory_id FROM {Q.RETRIEVED} r WHERE memory_id IS NOT NULL) JOIN qa USING (method_name, question_id) GROUP BY 1)"""
+
+
 _DERIVED = {"agreement": "(1.0::DOUBLE - contradiction)", "unimportance": "(1.0::DOUBLE - importance)"}
-_INPUTS = f"{_FEATURES}, i0 AS (SELECT *, 0.5::DOUBLE AS semantic_relevance, 0.0::DOUBLE AS success_contribution, 0.0::DOUBLE AS failure_contribution, 0.0::DOUBLE AS privacy_risk, 0.0::DOUBLE AS access_frequency, 0.8::DOUBLE AS source_priority, redundancy AS similarity, (contradiction >= 0.45)::INT::DOUBLE AS superseded FROM ft), inp AS (SELECT *, {Q.clamp('(importance + confidence + actionability + novelty) / 4.0::DOUBLE * (1.0::DOUBLE - 0.5::DOUBLE * redundancy)')} AS information_density FROM i0)"
+
+
+def _inputs_sql() -> str:
+    from .ranking import _SETS, _pairs
+
+    sets = _SETS.replace("m AS MATERIALIZED", "mm AS MATERIALIZED")
+    pairs = _pairs(0.55, "ps").replace("FROM m a JOIN m b", "FROM mm a JOIN mm b")
+    return f"""{_FEATURES}, {_used_sql()}, {sets}, {pairs}, sup AS (SELECT DISTINCT a FROM ps WHERE ub AND tb > ta),
+    i0 AS (SELECT ft.*, CASE WHEN us.n IS NULL THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, ln(1 + us.n) / ln(21.0::DOUBLE)) END AS access_frequency, coalesce(us.ok / us.n, 0.0::DOUBLE) AS success_contribution, coalesce((us.n - us.ok) / us.n, 0.0::DOUBLE) AS failure_contribution, 0.8::DOUBLE AS source_priority, redundancy AS similarity, (sup.a IS NOT NULL)::INT::DOUBLE AS superseded FROM ft LEFT JOIN us USING (memory_id) LEFT JOIN sup ON sup.a = ft.memory_id),
+    inp AS (SELECT *, {Q.clamp('(importance + confidence + actionability + novelty) / 4.0::DOUBLE * (1.0::DOUBLE - 0.5::DOUBLE * redundancy)')} AS information_density FROM i0)"""
+
+
+_INPUTS = _inputs_sql()
 
 
 def _score_sql(name: str) -> str:
@@ -87,7 +138,7 @@ def _score_sql(name: str) -> str:
 
 def _decision_sql(name: str) -> str:
     gate = f" AND similarity >= {P.UPDATE_SIMILARITY}::DOUBLE AND contradiction >= {P.UPDATE_CONTRADICTION}::DOUBLE" if name == "update" else ""
-    return f"CASE WHEN {_score_sql(name)} >= {P.SCORES[name][1]}::DOUBLE{gate} THEN '{P.SCORES[name][2]}' ELSE 'IGNORE' END"
+    return f"CASE WHEN round({_score_sql(name)}, 9) >= {P.SCORES[name][1]}::DOUBLE{gate} THEN '{P.SCORES[name][2]}' ELSE 'IGNORE' END"
 
 
 def _register(name: str) -> None:
@@ -116,13 +167,12 @@ _RULE = {k: w for k, w in P.SCORES["retrieve"][0].items()}
 
 @query(
     "rule_ranker_topk",
-    f"WITH {_INPUTS}, rr AS (SELECT c.question_id, memory_id, {_score_sql('retrieve')} AS admitted, round({_score_sql('retrieve')} + 0.2::DOUBLE * contradiction * recency + 0.1::DOUBLE * actionability * recency, 6) AS score FROM inp JOIN (SELECT memory_id, question_id FROM {Q.CHUNKS} c) c USING (memory_id) WHERE c.question_id IS NOT NULL) SELECT question_id, memory_id, rank_no FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, memory_id)::BIGINT AS rank_no FROM rr WHERE admitted >= 0.05) WHERE rank_no <= 5",
+    f"WITH {_INPUTS}, rr AS (SELECT question_id, memory_id, {_score_sql('retrieve')} AS admitted, round({_score_sql('retrieve')} + 0.2::DOUBLE * contradiction * recency + 0.1::DOUBLE * actionability * recency, 6) AS score FROM inp WHERE question_id IS NOT NULL) SELECT question_id, memory_id, rank_no FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, memory_id)::BIGINT AS rank_no FROM rr WHERE round(admitted, 9) >= 0.05) WHERE rank_no <= 5",
 )
 def rule_ranker_topk(spark, d):
     """Admitted on the retrieve score, ranked by that score and a bonus for updates and actions."""
     from mnemolake.operators.ranking import top_k
 
     bonus = F.lit(0.2) * F.col("contradiction") * F.col("recency") + F.lit(0.1) * F.col("actionability") * F.col("recency")
-    f = inputs(spark, d).join(S.chunks(spark, d).select("memory_id", "question_id"), "memory_id").where("question_id is not null")
-    f = f.withColumn("admitted", P.score("retrieve")).where(F.col("admitted") >= P.SCORES["retrieve"][1]).withColumn("score", F.round(F.col("admitted") + bonus, 6))
+    f = inputs(spark, d).where("question_id is not null").withColumn("admitted", P.score("retrieve")).where(P.passed("retrieve", F.col("admitted"))).withColumn("score", F.round(F.col("admitted") + bonus, 6))
     return top_k(f, 5, positive=False).select("question_id", "memory_id", F.col("rank_no").cast("bigint").alias("rank_no"))

@@ -98,3 +98,17 @@ def usable(v: str) -> str:
 
 def cosine(a: str, b: str) -> str:
     return f"list_cosine_similarity({a}, {b})"
+
+
+def ascii_classes(x: str, letter: str) -> str:
+    """A text whose characters beyond ASCII are put for one of their class, so that RE2's words, digits and blanks are those of any script."""
+    one = f"CASE WHEN unicode(c) < 128 THEN CASE WHEN unicode(c) BETWEEN 28 AND 31 THEN ' ' ELSE c END WHEN regexp_matches(c, '\\p{{Nd}}') THEN '0' WHEN regexp_matches(c, '[\\p{{L}}\\p{{N}}]') THEN '{letter}' WHEN regexp_matches(c, '[\\p{{Z}}\\x{{85}}]') THEN ' ' ELSE '~' END"
+    return f"array_to_string(list_transform(string_split({x}, ''), lambda c: {one}), '')"
+
+
+def privacy(x: str) -> str:
+    from mnemolake.functions.text import EMAIL, PHONE, PRIVATE_WORDS, SECRET
+
+    named, plain = ascii_classes(x, "_"), ascii_classes(x, "q")
+    rules = [f"CASE WHEN regexp_matches({named}, '{EMAIL}') THEN 0.6 ELSE 0.0 END", f"CASE WHEN regexp_matches({named}, '{PHONE}') THEN 0.65 ELSE 0.0 END", f"CASE WHEN regexp_matches({plain}, '{SECRET}') THEN 0.9 ELSE 0.0 END", f"CASE WHEN {words_any(x, PRIVATE_WORDS)} THEN 0.75 ELSE 0.0 END"]
+    return f"greatest(0.0, {', '.join(rules)})::DOUBLE"

@@ -118,17 +118,15 @@ def normalized_answers(spark, d):
     return S.reader_outputs(spark, d).where("answer is not null").select("output_id", X.normalize_answer(a).alias("normalized"), X.is_abstention_answer(a).alias("abstains"))
 
 
-_EMAIL, _PHONE, _SECRET = (x.replace("'", "''") for x in (X.EMAIL, X.PHONE, X.SECRET))
 
 
-@query("privacy_risk", f"SELECT doc_id, greatest(0.0, CASE WHEN regexp_matches(text, '{_EMAIL}') THEN 0.6 ELSE 0.0 END, CASE WHEN regexp_matches(text, '{_PHONE}') THEN 0.65 ELSE 0.0 END, CASE WHEN regexp_matches(text, '{_SECRET}') THEN 0.9 ELSE 0.0 END, CASE WHEN {Q.words_any('text', X.PRIVATE_WORDS)} THEN 0.75 ELSE 0.0 END)::DOUBLE AS risk FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[\\x00-\\x7f]*$')")
-def privacy_risk(spark, d):
-    return S.table(spark, d, "documents").where(F.col("text").isNotNull() & F.col("text").rlike(r"^[\x00-\x7f]*\z")).select("doc_id", X.privacy_risk(F.col("text")).alias("risk"))
+_PRIVACY = f"SELECT doc_id, {Q.privacy('text')} AS risk FROM documents WHERE text IS NOT NULL"
 
 
-@query("privacy_risk_all")
-def privacy_risk_all(spark, d):
-    """The risk of every text in any script; privacy_risk is its part on plain ASCII, where RE2 has the same words and digits."""
+@query("privacy_risk", _PRIVACY)
+@query("privacy_risk_all", _PRIVACY)
+def privacy_risk(spark, d):
+    """The risk of every text in any script."""
     return S.table(spark, d, "documents").where("text is not null").select("doc_id", X.privacy_risk(F.col("text")).alias("risk"))
 
 
