@@ -107,3 +107,11 @@ def guarded(scored: DataFrame, k: int, margin: float | Column = 0.02, head: int
     d = d.withColumn("segment", F.when(chosen, 0).when(F.col("rd") <= keep, 1).otherwise(2))
     order = q.orderBy("segment", F.desc("score"), F.desc("anchor"), F.asc("ord"))
     return d.withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= k).drop("floor", "can", "place")
+
+
+def candidate_pool(df: DataFrame, size: int = 20) -> DataFrame:
+    """Rows among the first `size` of their question by dense or by anchor score."""
+    w = Window.partitionBy("question_id")
+    rd = F.row_number().over(w.orderBy(F.desc("dense"), F.desc("anchor"), "ord", "memory_id"))
+    ra = F.row_number().over(w.orderBy(F.desc("anchor"), F.desc("dense"), "ord", "memory_id"))
+    return df.withColumn("rd", rd).withColumn("ra", ra).where(F.least("rd", "ra") <= size).drop("rd", "ra")

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from mnemolake.functions import numbers as N
 from mnemolake.functions import text as X
 
+from . import lifecycle as L
+from . import ranking as R
+
 FEATURES = ("semantic_relevance", "importance", "scope_match", "confidence", "success_contribution", "recency", "contradiction", "redundancy", "token_cost", "staleness", "update_signal", "action_signal")
 # fixed values: the untrained weights, and what each ablation switches off
 WEIGHTS = dict(zip(FEATURES, (0.0, 0.0, 0.0, 0.0, 0.0, 0.10, -0.05, -0.05, -0.05, -0.05, 0.20, 0.05)))
@@ -118,3 +121,28 @@ def ablations(df: DataFrame) -> DataFrame:
     """Each row once for every ablation, with the feature or operation that is off: a cross join with eleven rows."""
     rows = df.sparkSession.createDataFrame([(k, f, o) for k, (f, o) in ABLATIONS.items()], "ablation string, off string, operation string")
     return df.crossJoin(F.broadcast(rows))
+
+
+def candidates(questions: DataFrame, memories: DataFrame, model: TunedModel) -> DataFrame:
+    """The candidate pool of every question with the ranker's features and score.
+
+    questions: question_id, question, question_date, query_vector; memories: question_id, memory_id, ord, content, source_date, token_count,
+    embedding (null where there is none; those can't be candidates).
+    """
+    known = memories.where("embedding is not null")
+    lexical = R.normalized_bm25(questions, memories).withColumnRenamed("score", "lx")
+    j = R.dense(questions.select("question_id", "query_vector"), known).withColumnRenamed("score", "dense").join(lexical, ["question_id", "memory_id"], "left")
+    anchor = R.anchor(F.col("dense"), F.coalesce("lx", F.lit(0.0)), model.semantic_weight, model.lexical_weight)
+    pool = R.candidate_pool(j.withColumn("anchor", F.round(anchor, R.ROUND)), model.pool)
+    red = L.redundancy(known.select("question_id", "memory_id", "embedding")).select("memory_id", F.round("redundancy", 5).alias("redundancy"))
+    dated = memories.select("question_id", "memory_id", "ord", "content", N.parse_date(F.col("source_date")).alias("ts"))
+    status = L.statuses(dated, model.duplicate_similarity, model.superseded_similarity).select("memory_id", "lifecycle_status")
+    r = pool.join(questions.select("question_id", "question", "question_date"), "question_id").join(red, "memory_id").join(status, "memory_id")
+    r = features(r.withColumn("source_ts", N.parse_date(F.col("source_date"))).withColumn("question_ts", N.parse_date(F.col("question_date"))))
+    return r.withColumn("score", score(model))
+
+
+def rank(questions: DataFrame, memories: DataFrame, model: TunedModel, k: int) -> DataFrame:
+    """(question_id, memory_id, score, rank_no, dense_rank, model): the first k after the guarded rerank, with the model's version for audits."""
+    out = R.guarded(candidates(questions, memories, model), k, model.margin, protect=model.protect)
+    return out.select("question_id", "memory_id", "score", "rank_no", F.col("rd").alias("dense_rank"), F.lit(model.version).alias("model"))

@@ -88,6 +88,17 @@ def dense(spark, d):
     return R.dense(query_vectors(spark, d), vectors(spark, d))
 
 
+def asked(spark, d):
+    """Questions as rankers take them."""
+    return questions(spark, d).join(query_vectors(spark, d), "question_id", "left")
+
+
+def held(spark, d):
+    """Memories as rankers take them: the vector is null where it can't be used."""
+    v = F.col("content_embedding")
+    return memories(spark, d).withColumn("embedding", F.when(N.usable(v, 64), N.doubles(v)))
+
+
 @query("dense_topk", f"WITH {_DENSE} {_top('dn')}")
 def dense_topk(spark, d):
     return _out(R.top_k(dense(spark, d), K))
@@ -126,14 +137,7 @@ def anchor_scores(spark, d):
     return anchored(spark, d).select("question_id", "memory_id", F.round("dense", 6).alias("dense"), F.round("lx", 6).alias("lexical"), F.round("anchor", 6).alias("anchor"))
 
 
-def candidate_pool(df, size: int = 20):
-    """Rows among the first `size` of their question by dense or by anchor score."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("question_id")
-    rd = F.row_number().over(w.orderBy(F.desc("dense"), F.desc("anchor"), "ord", "memory_id"))
-    ra = F.row_number().over(w.orderBy(F.desc("anchor"), F.desc("dense"), "ord", "memory_id"))
-    return df.withColumn("rd", rd).withColumn("ra", ra).where(F.least("rd", "ra") <= size).drop("rd", "ra")
+candidate_pool = R.candidate_pool
 
 
 _POOL = "po AS (SELECT * EXCLUDE (rd, ra) FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY dense DESC, anchor DESC, ord, memory_id) AS rd, row_number() OVER (PARTITION BY question_id ORDER BY anchor DESC, dense DESC, ord, memory_id) AS ra FROM an) WHERE least(rd, ra) <= 20)"

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mnemolake.functions import numbers as N
 from mnemolake.functions import text as X
-from mnemolake.operators import lifecycle as L
 from mnemolake.operators import metrics as M
 from mnemolake.operators import ranking as R
 from mnemolake.operators import search as H
@@ -24,13 +22,8 @@ MODEL = T.TunedModel()
 
 
 def rows(spark, d):
-    """The candidate pool of every question with the ranker's features."""
-    pool = P.candidate_pool(P.anchored(spark, d), MODEL.pool).join(P.questions(spark, d), "question_id")
-    more = S.chunks(spark, d).select("memory_id", "token_count", "source_session_id")
-    red = L.redundancy(P.vectors(spark, d).select("question_id", "memory_id", "embedding")).select("memory_id", F.round("redundancy", 5).alias("redundancy"))
-    status = L.statuses(P.dated(spark, d), MODEL.duplicate_similarity, MODEL.superseded_similarity).select("memory_id", "lifecycle_status")
-    j = pool.join(more, "memory_id").join(red, "memory_id").join(status, "memory_id")
-    return T.features(j.withColumn("source_ts", N.parse_date(F.col("source_date"))).withColumn("question_ts", N.parse_date(F.col("question_date"))))
+    """The candidate pool of every question with the ranker's features and score."""
+    return T.candidates(P.asked(spark, d), P.held(spark, d), MODEL)
 
 
 _W = {k: v for k, v in MODEL.weights.items() if v}
