@@ -151,3 +151,21 @@ def uses(n: Column) -> Column:
 
 def risk(text: Column) -> Column:
     return clamp01(privacy_risk(text))
+
+
+def explain(n: int = 5) -> Column:
+    """Names of the n largest features, larger first, then by name."""
+    entries = F.array_sort(F.array(*[F.struct((-F.col(f)).alias("o"), F.lit(f).alias("k")) for f in FEATURES]))
+    return F.transform(F.slice(entries, 1, n), lambda e: e["k"])
+
+
+def feature_map() -> Column:
+    return F.create_map(*[x for f in FEATURES for x in (F.lit(f), F.col(f))])
+
+
+def to_operation(name: str, ident: str = "memory_id") -> Column:
+    """A decision as a row of the operation log: what was decided on which memory, with score, threshold and the features it rests on."""
+    return F.struct(
+        decision(name).alias("op"), F.col(ident).alias("target_memory_id"), reason(name).alias("reason"), F.round(score(name), 9).alias("policy_score"), F.lit(SCORES[name][1]).alias("threshold"),
+        F.col("confidence").alias("confidence"), F.struct(feature_map().alias("feature_snapshot")).alias("payload"),
+    )

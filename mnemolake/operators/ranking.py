@@ -115,3 +115,16 @@ def candidate_pool(df: DataFrame, size: int = 20) -> DataFrame:
     rd = F.row_number().over(w.orderBy(F.desc("dense"), F.desc("anchor"), "ord", "memory_id"))
     ra = F.row_number().over(w.orderBy(F.desc("anchor"), F.desc("dense"), "ord", "memory_id"))
     return df.withColumn("rd", rd).withColumn("ra", ra).where(F.least("rd", "ra") <= size).drop("rd", "ra")
+
+
+def united(parts: list[DataFrame], k: int, by: str = "question_id") -> DataFrame:
+    """The best k results of several stores: each (question_id, memory_type, content, score, source_date) counts once by type and
+    case-folded content, with its best score; ordered by score, then the later date, then content.
+    """
+    out = parts[0].select(by, "memory_type", "content", "score", "source_date")
+    for p in parts[1:]:
+        out = out.unionByName(p.select(by, "memory_type", "content", "score", "source_date"))
+    key = [F.col(by), F.coalesce("memory_type", F.lit("")), casefold(F.trim(F.coalesce("content", F.lit(""))))]
+    order = [F.desc("score"), F.desc_nulls_last("source_date"), F.asc("content")]
+    once = out.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
+    return once.withColumn("rank_no", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank_no") <= k)

@@ -6,6 +6,12 @@ window views of the log; nothing is updated in place, so a lost task is simply r
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from datetime import datetime, timezone
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +19,9 @@ from pyspark.sql.window import Window
 
 from mnemolake.functions.numbers import cosine, rank_score
 from mnemolake.functions.text import merge_paragraphs, merge_summaries
+from mnemolake.sources import files
+
+Embedder = Callable[[list[str]], np.ndarray]
 
 FILTERS = ("include_archived", "scope", "status", "tags", "type")
 OPERATIONS = ("ADD", "UPDATE", "MERGE", "ARCHIVE", "COMPRESS", "RETRIEVE", "IGNORE", "DELETE", "SPLIT", "EXPIRE", "LOCK", "PROMOTE", "DEMOTE", "PIN", "DREAM", "VERIFY")
@@ -29,6 +38,8 @@ MEMORY = T.StructType(
 )
 LOG = T.StructType([*MEMORY.fields, T.StructField("op", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("seq", T.LongType())])
 
+AUDIT = T.StructType([T.StructField("op", T.StringType()), T.StructField("decided", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("confidence", T.DoubleType()), T.StructField("at", T.TimestampType())])
+
 
 def versions(log: DataFrame, ident: str, *order: Column) -> DataFrame:
     """The log with version, counted from 1 within each memory."""
@@ -78,29 +89,65 @@ def merge(log: DataFrame, target: str = "target_id") -> DataFrame:
 
 
 class MemoryStore:
-    """The log as a Parquet table in a folder. Every write appends one batch; readers see whole batches only."""
+    """The log as a Parquet table in a folder. Every write appends one batch; readers see whole batches only.
+
+    A batch's number is claimed by making a file that must not be there yet, so two writers never get the same one and no write reads
+    the log for it. compact() writes a new table and then names it in a small file, which is what readers look up.
+    Decisions are kept in an audit table of their own. embedder: gives new vectors to memories whose content changes.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None):
+        self.spark, self.folder, self.embedder, self.found = spark, folder.rstrip("/"), embedder, None
 
     @property
     def path(self) -> str:
-        return f"{self.folder}/log"
+        return f"{self.folder}/{files.read_text(self.spark, f'{self.folder}/CURRENT') or 'log'}"
 
     def log(self) -> DataFrame:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        there = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-        return self.spark.read.schema(LOG).parquet(self.path) if there else self.spark.createDataFrame([], LOG)
+        path = self.path
+        return self.spark.read.schema(LOG).parquet(path) if files.exists(self.spark, path) else self.spark.createDataFrame([], LOG)
 
     def all(self) -> DataFrame:
         return current(self.log().where("op in ('ADD', 'UPDATE', 'MERGE', 'ARCHIVE')"), "id", "seq")
 
-    def _append(self, rows: DataFrame, op: str, reason: str) -> None:
-        last = self.log().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    def audit(self) -> DataFrame:
+        path = f"{self.folder}/audit"
+        return self.spark.read.schema(AUDIT).parquet(path) if files.exists(self.spark, path) else self.spark.createDataFrame([], AUDIT)
+
+    def _note(self, op: str, decided: str, reason: str, score: float | None, confidence: float | None) -> None:
+        row = [(op, decided, reason, score, confidence, datetime.now(timezone.utc))]
+        self.spark.createDataFrame(row, AUDIT).coalesce(1).write.mode("append").parquet(f"{self.folder}/audit")
+
+    def _claim(self) -> int:
+        """The next number of a batch, for this writer alone."""
+        n = 1 + max((int(x) for x in files.names(self.spark, f"{self.folder}/claims") if x.isdigit()), default=0)
+        while not files.create(self.spark, f"{self.folder}/claims/{n}"):
+            n += 1
+        return n
+
+    def _append(self, rows: DataFrame, op: str | Column, reason: str) -> None:
         for f in MEMORY.fields:
             if f.name not in rows.columns:
                 rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in MEMORY.fields], F.lit(op).alias("op"), F.lit(reason).alias("reason"), F.lit(last + 1).alias("seq")).write.mode("append").parquet(self.path)
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in MEMORY.fields], F.lit(op).alias("op"), F.lit(reason).alias("reason"), F.lit(self._claim()).cast("bigint").alias("seq")).write.mode("append").parquet(self.path)
+
+    def _embedded(self, rows: DataFrame) -> DataFrame:
+        """rows whose vector is null with one of their content, if there is an embedder."""
+        if self.embedder is None:
+            return rows
+        embedder = self.embedder
+
+        @F.pandas_udf("array<double>")
+        def embed(text: pd.Series) -> pd.Series:
+            return pd.Series(list(np.asarray(embedder([t or "" for t in text]), dtype=np.float64)))
+
+        return rows.withColumn("content_embedding", F.coalesce("content_embedding", F.when(F.col("content").isNotNull(), embed("content"))))
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table beside the log: later writes don't change it, and nothing is collected."""
+        path = f"{self.folder}/work/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def add(self, rows: DataFrame, reason: str = "added") -> None:
         """Append new memories; an id that isn't well formed, comes twice or is there already is an error and nothing is written."""
@@ -113,7 +160,7 @@ class MemoryStore:
         self._append(rows, "ADD", reason)
 
     def update(self, patch: DataFrame, op: str = "UPDATE", reason: str = "updated") -> None:
-        """patch: id and the columns to change; null leaves a value. A changed content without a new vector drops the old vector."""
+        """patch: id and the columns to change; null leaves a value. A changed content without a new vector is embedded again, or has none without an embedder."""
         fields = [c for c in patch.columns if c != "id"]
         if not fields or set(fields) - {f.name for f in MEMORY.fields}:
             raise ValueError("a patch needs known fields")
@@ -125,7 +172,25 @@ class MemoryStore:
             rows = rows.withColumn("content_embedding", F.when(F.col("_content").isNull() | (F.col("_content") == F.col("content")), F.col("content_embedding")))
         for c in fields:
             rows = rows.withColumn(c, F.coalesce(f"_{c}", c))
-        self._append(rows.drop(*[f"_{c}" for c in fields]), op, reason)
+        rows = rows.drop(*[f"_{c}" for c in fields])
+        self._append(self._embedded(rows) if "content" in fields else rows, op, reason)
+
+    def upsert(self, rows: DataFrame, reason: str) -> bool:
+        """Add the memories that aren't there and update the others, as one batch that is written whole or not at all. A reason that the log
+        has already is a batch delivered again: nothing is written and False returned.
+        """
+        if not self.log().where(F.col("reason") == reason).isEmpty():
+            return False
+        fields = [c for c in rows.columns if c != "id" and c in MEMORY.fieldNames()]
+        new = rows.dropDuplicates(["id"]).select("id", *[F.col(c).alias(f"_{c}") for c in fields])
+        j = new.join(self.all().drop("op", "reason", "seq").withColumn("_known", F.lit(True)), "id", "left")
+        if "content" in fields and "content_embedding" not in fields:
+            j = j.withColumn("content_embedding", F.when(F.col("_content").isNull() | (F.col("_content") == F.col("content")), F.col("content_embedding")))
+        for c in fields:
+            j = j.withColumn(c, F.coalesce(f"_{c}", c))
+        j = j.withColumns({"status": F.coalesce("status", F.lit("active")), "access_count": F.coalesce("access_count", F.lit(0).cast("bigint")), "_op": F.when(F.col("_known"), "UPDATE").otherwise("ADD")})
+        self._append(self._embedded(j.drop(*[f"_{c}" for c in fields])), F.col("_op"), reason)
+        return True
 
     def archive(self, ids: DataFrame, reason: str = "archived") -> None:
         """Flip the status of the given ids; what is archived already stays as it is."""
@@ -140,7 +205,7 @@ class MemoryStore:
         """plan: target_id, source_id, ord. The target takes the merged text and links, the sources are archived."""
         rows = plan.select("target_id", "ord", F.col("source_id").alias("id")).unionByName(plan.select("target_id", F.lit(-1).cast("int").alias("ord"), F.col("target_id").alias("id")).distinct())
         merged = merge(rows.join(self.all(), "id")).withColumnRenamed("target_id", "id")
-        sources = self.spark.createDataFrame(plan.select(F.col("source_id").alias("id")).distinct().toArrow())
+        sources = self._kept(plan.select(F.col("source_id").alias("id")).distinct(), "merged")
         self.update(merged, "MERGE", reason)
         self.archive(sources, "merged into another memory")
 
@@ -165,23 +230,77 @@ class MemoryStore:
 
         return lexical(self.all().where(matches(**filters)), query).where("score > 0").orderBy(F.desc("score"), "id").limit(k)
 
-    def execute(self, op: str, passed: bool, **inputs) -> str:
-        """Apply one decided operation; a failed or IGNORE decision changes nothing."""
+    def retrieve(self, query: str | list[float], k: int, **filters) -> DataFrame:
+        return self.search_text(query, k, **filters) if isinstance(query, str) else self.search_vector(query, k, **filters)
+
+    def execute(self, op: str, passed: bool, reason: str = "", score: float | None = None, confidence: float | None = None, **inputs) -> str:
+        """Apply one decided operation; a failed or IGNORE decision changes nothing. Every one leaves a row in the audit table, also RETRIEVE,
+        whose result is in `found`, and IGNORE.
+        """
         if op not in OPERATIONS:
             raise ValueError(f"unknown operation {op}")
-        if op == "IGNORE" or not passed:
-            return "IGNORE"
-        if op in UNSUPPORTED:
-            raise NotImplementedError(op)
-        if op != "RETRIEVE":
-            {"ADD": self.add, "UPDATE": self.update, "MERGE": self.merge, "ARCHIVE": self.archive}[op](**inputs)
-        return op
-
-    def compact(self) -> None:
-        """Rewrite the current states as one batch in a new folder and swap it in; older versions are dropped."""
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        self.log().join(self.all().select("id", "seq"), ["id", "seq"], "left_semi").write.mode("overwrite").parquet(self.path + "_new")
-        fs.rename(path(self.path), path(self.path + "_old"))
-        fs.rename(path(self.path + "_new"), path(self.path))
-        fs.delete(path(self.path + "_old"), True)
+        if op != "IGNORE" and passed:
+            if op in UNSUPPORTED:
+                raise NotImplementedError(op)
+            if op == "RETRIEVE":
+                self.found = self.retrieve(**inputs) if inputs else None
+            else:
+                {"ADD": self.add, "UPDATE": self.update, "MERGE": self.merge, "ARCHIVE": self.archive}[op](**inputs)
+            decided = op
+        else:
+            decided = "IGNORE"
+        self._note(op, decided, reason, score, confidence)
+        return decided
+
+    def compact(self, history: bool = False) -> None:
+        """Rewrite the log as one batch in a new table and name it as the current one; without history, older versions are dropped from it."""
+        log = self.log()
+        kept = log if history else log.join(self.all().select("id", "seq"), ["id", "seq"], "left_semi")
+        name = f"log-{uuid.uuid4().hex}"
+        kept.select(*LOG.fieldNames()).write.parquet(f"{self.folder}/{name}")
+        files.write_text(self.spark, f"{self.folder}/CURRENT", name)
+
+
+#: Fields of a memory that the index holds.
+INDEXED = ("id", "type", "scope", "status", "content_embedding")
+
+
+class HybridStore(MemoryStore):
+    """A store with an index of its vectors in a table of its own, which follows every write. Found in the index, memories come from the log."""
+
+    def _index_path(self) -> str:
+        return f"{self.folder}/index"
+
+    def indexed(self) -> DataFrame:
+        """The current row of each memory in the index."""
+        schema = T.StructType([f for f in LOG.fields if f.name in (*INDEXED, "seq")])
+        there = files.exists(self.spark, self._index_path())
+        return current(self.spark.read.schema(schema).parquet(self._index_path()) if there else self.spark.createDataFrame([], schema), "id", "seq")
+
+    def _write_index(self, rows: DataFrame) -> None:
+        rows.select(*INDEXED, "seq").write.mode("append").parquet(self._index_path())
+
+    def _append(self, rows: DataFrame, op: str | Column, reason: str) -> None:
+        super()._append(rows, op, reason)
+        last = self.log().agg(F.max("seq")).first()[0]
+        try:
+            self._write_index(self.log().where(F.col("seq") == last))
+        except Exception:
+            if op == "ADD":  # what can't be found must not look stored
+                failed = self._kept(self.log().where(F.col("seq") == last).drop("op", "reason", "seq"), "failed")
+                super()._append(failed.withColumn("status", F.lit("archived")), "ARCHIVE", "the index could not be written")
+            raise
+
+    def reindex(self) -> int:
+        """Put what the index lacks, or holds an older state of, into it; returns how many memories that were."""
+        missing = self._kept(self.all().where("status = 'active'").join(self.indexed().select("id", "seq"), ["id", "seq"], "left_anti").select(*INDEXED, "seq"), "reindex")
+        n = missing.count()
+        if n:
+            self._write_index(missing)
+        return n
+
+    def search_vector(self, query: list[float], k: int, **filters) -> DataFrame:
+        """The k best of the index by cosine above 0, then by id, with their memories as the log has them; what the log lacks is left out."""
+        v = F.array(*[F.lit(float(x)) for x in query])
+        hits = self.indexed().where(matches(**filters)).withColumn("score", F.round(cosine(v, F.col("content_embedding")), 9)).where("score > 0").orderBy(F.desc("score"), "id").limit(k)
+        return self.all().join(F.broadcast(hits.select("id", "score")), "id").where(matches(**filters)).orderBy(F.desc("score"), "id")  # k rows

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,5 +160,66 @@ def learned_policy_proba(spark, d):
     return f.select("memory_id", *[F.round(F.get(p, F.lit(i)), 6).alias(label.lower()) for i, label in enumerate(model.labels)])
 
 
+EXAMPLE = "sample_id string, stage string, memory_id string, label string, features map<string,double>"
+
+
+def training_examples(samples: DataFrame) -> DataFrame:
+    """(EXAMPLE) of samples (as run_systems takes them, with expected_ops, gold_ids and stale_ids): the gold operations are replayed over each
+    sample's store, and every decision on the way becomes a row. Stages: `candidate`, labelled UPDATE, MERGE, ADD or IGNORE and then
+    applied; `archive`, ARCHIVE or IGNORE; `retrieval`, RETRIEVE or IGNORE. Sequential within a sample.
+    """
+    source = samples.repartition("sample_id").select("sample_id", "query", "target_scope", "superseded", "initial", "candidates", "gold_ids", "stale_ids", "expected_ops")
+
+    def memory(r: dict, initial: bool) -> A.Memory:
+        given = {key: r[key] for key in ("importance", "confidence", "recency") if r.get(key) is not None}
+        given.setdefault("recency", 0.35 if initial else 1.0)
+        return A.Memory(r["id"], r["content"] or "", r["type"] or "semantic", r["scope"] or "global", r["summary"], given=given)
+
+    def rows(r: dict):
+        store, want, query = A.Store([memory(x, True) for x in r["initial"] or []]), set(r["expected_ops"] or []), r["query"] or ""
+        for x in r["candidates"] or []:
+            m = memory(x, False)
+            f = A.features(m, store.active(), query, r["target_scope"] or m.scope)
+            near, _ = store.nearest(m)
+            label = next((op for op, ok in (("UPDATE", near is not None and "UPDATE" in want), ("MERGE", near is not None and "MERGE" in want), ("ADD", bool(want & {"ADD", "COMPRESS"}))) if ok), "IGNORE")
+            yield "candidate", m.id, label, f
+            A.admit(m, store, query, r["target_scope"] or m.scope, choose=lambda _f, _ops, label=label: label)
+        old = {*(r["superseded"] or []), *(r["stale_ids"] or [])}
+        for m in store.active():
+            label = "ARCHIVE" if m.id in old and "ARCHIVE" in want else "IGNORE"
+            yield "archive", m.id, label, A.features(m, [], query, r["target_scope"] or "global")
+            if label == "ARCHIVE":
+                store.items[m.id] = replace(m, status="archived")
+        gold = set(r["gold_ids"] or [])
+        for m in store.active():
+            yield "retrieval", m.id, "RETRIEVE" if m.id in gold else "IGNORE", A.features(m, [], query, r["target_scope"] or "global")
+
+    def run(batches):
+        kinds = pa.schema([("sample_id", pa.string()), ("stage", pa.string()), ("memory_id", pa.string()), ("label", pa.string()), ("features", pa.map_(pa.string(), pa.float64()))])
+        for batch in batches:
+            for r in batch.to_pylist():
+                found = [{"sample_id": r["sample_id"], "stage": s, "memory_id": i, "label": x, "features": list(f.items())} for s, i, x, f in rows(r)]
+                yield pa.RecordBatch.from_pylist(found, kinds)
+
+    return source.mapInArrow(run, EXAMPLE)
+
+
+@query("training_examples")
+def training_examples_query(spark, d):
+    """Labelled decisions of all samples, counted by stage and label: sequential, so without SQL."""
+    return training_examples(memory_samples(spark, d)).groupBy("stage", "label").agg(F.count("*").alias("examples"), F.round(F.avg(F.col("features")["importance"]), 6).alias("mean_importance"))
+
+
+def differences(results: DataFrame, reference: str, other: str, most: int = 12) -> DataFrame:
+    """The first samples, by id, in which two systems do other operations."""
+    side = lambda name, c: results.where(F.col("system_name") == name).select("sample_id", F.col("ops").alias(c))
+    return side(reference, "ops_reference").join(side(other, "ops_other"), "sample_id").where("ops_reference <> ops_other").orderBy("sample_id").limit(most)
+
+
+def failures(scored: DataFrame, most: int = 20) -> DataFrame:
+    """The first cells, by system and sample, that failed or answered wrongly."""
+    return scored.where("error is not null or accuracy < 1").orderBy("system_name", "sample_id").select("system_name", "sample_id", "answer", "error", "accuracy").limit(most)
+
+
 def aggregate_latency(results: DataFrame, column: str = "latency_ms") -> DataFrame:
     return results.groupBy("system_name").agg(*M.latency(column))

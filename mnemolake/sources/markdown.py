@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 FIELDS = ("type", "scope", "summary", "status", "tags", "importance", "confidence")
 SCHEMA = "id string, type string, scope string, content string, summary string, status string, tags array<string>, importance double, confidence double"
 _FRONT = re.compile(r"^---\n(.*?)\n---\n\n?(.*)$", re.S)
@@ -53,24 +55,25 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write(df: DataFrame, folder: str) -> int:
-    """One file for each memory, written by the tasks; a file is renamed into place when complete. Returns the number written."""
-    import os
-
+    """One file for each memory, on Spark's default file system. Tasks render the files into a table beside the folder, which every executor can
+    write; the driver then puts the files in place one at a time, so memory is that of one file. Returns the number written.
+    """
+    spark = df.sparkSession
     columns = [c for c in ("id", "content", *FIELDS) if c in df.columns]
 
     def run(batches):
-        os.makedirs(folder, exist_ok=True)
         for batch in batches:
-            n = 0
-            for row in batch.to_pylist():
-                path = f"{folder}/{row['id']}.md"
-                with open(f"{path}.tmp{os.getpid()}", "w", encoding="utf-8") as f:
-                    f.write(render(row))
-                os.replace(f.name, path)
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    return df.select(*columns).mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            rows = batch.to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([r["id"] for r in rows], pa.string()), pa.array([render(r) for r in rows], pa.string())], ["id", "text"])
+
+    beside = f"{folder.rstrip('/')}/.rendered"
+    df.select(*columns).mapInArrow(run, "id string, text string").write.mode("overwrite").parquet(beside)
+    n = 0
+    for r in spark.read.parquet(beside).toLocalIterator():
+        files.write_text(spark, f"{folder}/{r.id}.md", r.text)
+        n += 1
+    files.remove(spark, beside)
+    return n
 
 
 def index(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,22 +37,15 @@ def once(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> Data
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_into(store: MemoryStore):
-    """A foreachBatch function: memories (id, ...) of a batch that the store lacks are added, the others updated."""
+def upsert_into(store: MemoryStore, name: str | None = None):
+    """A foreachBatch function: memories (id, ...) of a batch that the store lacks are added, the others updated, in one write. A batch that
+    is delivered again after a failure changes nothing. name: of the query; give the same one when it is started again from its
+    checkpoint, as batches are told apart by it. Without one, batches of this very function are.
+    """
+    name = name or f"stream {uuid.uuid4().hex}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.dropDuplicates(["id"]).persist()
-        try:
-            known = store.all().select("id")
-            new, old = rows.join(known, "id", "left_anti"), rows.join(known, "id", "left_semi").persist()
-            has_old = old.limit(1).count() > 0
-            if new.limit(1).count():
-                store.add(new, f"stream batch {batch_id}")
-            if has_old:
-                store.update(old, reason=f"stream batch {batch_id}")
-            old.unpersist()
-        finally:
-            rows.unpersist()
+        store.upsert(batch, f"{name} batch {batch_id}")
 
     return write
 
