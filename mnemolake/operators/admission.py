@@ -17,6 +17,12 @@ from mnemolake.functions import text as X
 _TERM = re.compile(r"[\w-]+")
 _RISKS = ((re.compile(X.EMAIL), 0.6), (re.compile(X.PHONE), 0.65), (re.compile(X.SECRET), 0.9))
 SYSTEMS = ("no_memory", "full_context", "summary_memory", "naive_vector", "vector_recency", "vector_importance", "rule_policy", "learned_policy")
+# fixed value: what is answered without memory
+NO_MEMORY = "No memory available."
+#: Other names of systems; case and hyphens don't count.
+ALIASES = {"none": "no_memory", "full": "full_context", "summary": "summary_memory", "vector": "naive_vector", "vector_rag": "naive_vector", "recency": "vector_recency", "importance": "vector_importance", "rule": "rule_policy", "learned": "learned_policy"}
+#: Least probability at which the learned policy retrieves a memory.
+RETRIEVE_AT = 0.05
 WEIGHTS = {"vector_recency": (0.70, 0.25, 0.05), "vector_importance": (0.70, 0.05, 0.25)}
 
 
@@ -174,17 +180,33 @@ def _ranked(scored: list[tuple[float, Memory]], k: int, least: float = 0.0) -> l
     return [m for s, m in scored[:k] if s > least]
 
 
+def system_name(name: str) -> str:
+    name = name.strip().casefold().replace("-", "_")
+    return ALIASES.get(name, name)
+
+
 def run(system: str, query: str, initial: list[Memory], candidates: list[Memory], target: str, superseded: set[str], k: int = 3, off: frozenset[str] = frozenset(), model=None) -> dict:
     """What one system does with one sample: its answer, retrieved ids, operations, tokens and active memories."""
+    system = system_name(system)
     policy = system in ("rule_policy", "learned_policy")
     store = Store(initial if policy else [*initial, *candidates])
     ops: list[str] = []
     text = lambda m: f"{m.content} {m.summary or ''}"
     if system == "no_memory":
-        return {"answer": None, "retrieved": [], "ops": [], "tokens": 0, "active": len(initial)}
-    if policy:
-        choose = model.choose if system == "learned_policy" else None
-        ops += [admit(c, store, query, target, off, choose) for c in candidates]
+        return {"answer": NO_MEMORY, "retrieved": [], "ops": [], "tokens": 0, "active": len(initial)}
+    if system == "learned_policy":
+        if model is None:
+            raise ValueError("the learned policy needs a model")
+        ops += [admit(c, store, query, target, off, model.choose) for c in candidates]
+        look = lambda m: features(m, [], query, target or "global", off=off)
+        for m in store.active():
+            ops.append(model.choose(look(m), ["ARCHIVE", "IGNORE"]))
+            if ops[-1] == "ARCHIVE":
+                store.items[m.id] = replace(m, status="archived")
+        ranked = sorted(((model.probabilities(look(m)).get("RETRIEVE", 0.0), m) for m in store.active()), key=lambda x: (-x[0], x[1].id))
+        found = [m for p, m in ranked[:k] if p >= RETRIEVE_AT] or [m for _, m in ranked[:1]]
+    elif policy:
+        ops += [admit(c, store, query, target, off) for c in candidates]
         ops += archive_stale(store, query, superseded, off)
         ranked = []
         for m in store.active():

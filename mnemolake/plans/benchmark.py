@@ -7,13 +7,16 @@ from dataclasses import replace
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mnemolake.functions.text import squeeze, token_overlap
 from mnemolake.operators import admission as A
 from mnemolake.operators import learned as N
+from mnemolake.operators import lifecycle as L
 from mnemolake.operators import metrics as M
 from mnemolake.sources import tables as S
 
+from . import ranking as P
 from .policy import kind
 from .registry import query
 
@@ -101,7 +104,10 @@ def deltas(summary_: DataFrame, reference: str = "rule_policy") -> DataFrame:
 
 
 def memory_samples(spark, d) -> DataFrame:
-    """Each question with its memories as a sample: the earlier half is in store, the later half comes as candidates."""
+    """Each question with its memories as a sample: the earlier half is in store, the later half comes as candidates. Superseded and duplicate
+    memories are those of the lifecycle statuses, and tell what operations are expected: an update and an archive for the former, a
+    merge for the latter. A sample is worked off by one task, as each decision rests on those before it.
+    """
     m = S.chunks(spark, d).where("content is not null and question_id is not null")
     record = F.struct(F.col("memory_id").alias("id"), kind().alias("type"), F.coalesce("scope", F.lit("global")).alias("scope"), "content", F.lit(None).cast("string").alias("summary"), "importance", F.lit(0.85).alias("confidence"), F.lit(None).cast("double").alias("recency"))
     g = m.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("ord", "memory_id", record.alias("r")))).alias("all"), F.min_by("scope", F.struct("ord", "memory_id")).alias("target_scope"))
@@ -110,10 +116,16 @@ def memory_samples(spark, d) -> DataFrame:
     s = S.samples(spark, d).select("question_id", F.col("question").alias("query"), F.coalesce("answer", F.array().cast("array<string>")).alias("gold_answers"), "question_type")
     none = F.array().cast("array<string>")
     gold = m.join(S.samples(spark, d).select("question_id", "answer_session_ids"), "question_id").where(F.array_contains("answer_session_ids", F.col("source_session_id"))).groupBy("question_id").agg(F.array_sort(F.collect_set("memory_id")).alias("gold_ids"))
+    status = L.statuses(P.dated(spark, d), 0.98, 0.55).where("lifecycle_status <> 'active'").groupBy("question_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("lifecycle_status") == "superseded", F.col("memory_id")))).alias("old"), F.count_if(F.col("lifecycle_status") == "duplicate").alias("copies"))
+    old = F.coalesce("old", none)
+    changed, doubled = F.size(old) > 0, F.coalesce(F.col("copies") > 0, F.lit(False))
+    expected = F.array_compact(F.array(F.lit("ADD"), F.when(changed, F.lit("UPDATE")), F.when(doubled, F.lit("MERGE")), F.when(changed, F.lit("ARCHIVE")), F.lit("RETRIEVE")))
+    kinds = F.when(changed, F.lit("conflict_resolution")).otherwise(F.coalesce("question_type", F.lit("unknown")))
     return (
-        g.join(s, "question_id").join(gold, "question_id", "left")
-        .select(F.col("question_id").alias("sample_id"), "query", F.coalesce("target_scope", F.lit("global")).alias("target_scope"), none.alias("superseded"), F.slice(rows, 1, half).alias("initial"), F.filter(rows, lambda r, i: i >= half).alias("candidates"),
-                "gold_answers", F.coalesce("gold_ids", none).alias("gold_ids"), none.alias("stale_ids"), F.array(F.lit("ADD"), F.lit("RETRIEVE")).alias("expected_ops"), F.coalesce("question_type", F.lit("unknown")).alias("task_type"), half.alias("before"))
+        g.join(s, "question_id").join(gold, "question_id", "left").join(status, "question_id", "left")
+        .select(F.col("question_id").alias("sample_id"), "query", F.coalesce("target_scope", F.lit("global")).alias("target_scope"), old.alias("superseded"), F.slice(rows, 1, half).alias("initial"), F.filter(rows, lambda r, i: i >= half).alias("candidates"),
+                "gold_answers", F.coalesce("gold_ids", none).alias("gold_ids"), old.alias("stale_ids"), expected.alias("expected_ops"), kinds.alias("task_type"), half.alias("before"))
     )
 
 
@@ -125,10 +137,18 @@ def admission_replay(spark, d):
     return r.select("sample_id", *[n(op) for op in ("ADD", "UPDATE", "MERGE", "IGNORE", "ARCHIVE")], "active", F.array_join("retrieved", " ").alias("retrieved"), "error")
 
 
+#: Rows of each label that a model is fitted on at most, by hash of their ids, and passes over them (the training's default).
+EXAMPLES, EPOCHS = 400, 500
+
+
 @query("system_summary")
 def system_summary(spark, d):
+    """All systems over all samples. The learned one is fitted on at most EXAMPLES labelled decisions of each label, by hash."""
     s = memory_samples(spark, d)
-    return summary(sample_metrics(run_systems(s, [x for x in A.SYSTEMS if x != "learned_policy"]), s))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("sample_id", "stage", "memory_id"), "sample_id", "stage", "memory_id"))
+    few = training_examples(s).withColumn("r", rank).where(F.col("r") <= EXAMPLES).orderBy("r", "label").collect()
+    model = N.PolicyModel.train([(r.label, r.features) for r in few], epochs=EPOCHS) if few else None
+    return summary(sample_metrics(run_systems(s, list(A.SYSTEMS), model=model), s))
 
 
 @query("feature_ablation")
@@ -139,22 +159,16 @@ def feature_ablation(spark, d):
     return deltas(summary(sample_metrics(run_systems(s, ["rule_policy"], off=off), s)))
 
 
-#: Memories of each label that the model is fitted on at most, by hash of their ids, and passes over them (the training's default).
-EXAMPLES, EPOCHS = 400, 500
-
-
 @query("learned_policy_proba")
 def learned_policy_proba(spark, d):
     """Probabilities of a model trained on operations that the rule scores give to a bounded set of memories, EXAMPLES of each label."""
-    from pyspark.sql.window import Window
-
-    from mnemolake.functions import policy as P
+    from mnemolake.functions import policy as G
 
     from .policy import inputs
 
-    f = inputs(spark, d).withColumn("label", F.when(P.decision("write") == "ADD", "ADD").when(P.decision("merge") == "MERGE", "MERGE").otherwise("IGNORE"))
+    f = inputs(spark, d).withColumn("label", F.when(G.decision("write") == "ADD", "ADD").when(G.decision("merge") == "MERGE", "MERGE").otherwise("IGNORE"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("memory_id"), "memory_id"))
-    few = f.withColumn("r", rank).where(F.col("r") <= EXAMPLES).orderBy("r", "label").select("label", *P.FEATURES).collect()
+    few = f.withColumn("r", rank).where(F.col("r") <= EXAMPLES).orderBy("r", "label").select("label", *G.FEATURES).collect()
     model = N.PolicyModel.train([(r["label"], r.asDict()) for r in few], ["ADD", "IGNORE", "MERGE"], epochs=EPOCHS)
     p = model.columns()
     return f.select("memory_id", *[F.round(F.get(p, F.lit(i)), 6).alias(label.lower()) for i, label in enumerate(model.labels)])
