@@ -20,9 +20,11 @@ _MASK = (1 << 64) - 1
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where the setting is absent (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a local one only where the setting is absent in a local session (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='mnemolake-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
