@@ -4,7 +4,9 @@ Words are known that stand in a share of all documents, questions and answers. L
 on a bounded sample of documents with their language labels (which may be wrong here and there), then twice more with all
 questions and answers it is sure of. Ends of texts: for the last one to five words of every position of all answers
 (numbers and names masked), how often a sentence ends there; an answer without a final stop whose last words hardly ever end
-a sentence is broken off. Counts cover every row: tasks add them up in arrays of a fixed size, which are summed by blocks.
+a sentence is broken off. Refusals: a logistic regression over word n-grams (names masked too) and whether the wording below is
+found, fitted on a bounded sample of answers to abstention questions, most of which decline, and of other answers, few
+of which do. Counts cover every row: tasks add them up in arrays of a fixed size, which are summed by blocks.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ KNOWN, SURE, ENDS, SEEN = 6, 3.0, 0.03, 1.3e-4
 #: The same words in more texts: shares of all texts that a known word must stand in, and of all answers that a word must stand in before
 #: their last word to end a text. The counts KNOWN and WHOLE hold where the shares come to less.
 KNOWN_SHARE, WHOLE, WHOLE_SHARE = 3e-4, 2, 2 / 12_000
+#: Answers to abstention questions, and other answers, that refusals are fitted on at most; buckets of their n-grams; shrinkage, steps and step size.
+LABELLED, TERMS, SHRINK, STEPS, RATE = 8_000, 1 << 16, 1e-3, 200, 0.5
+#: Where the fit begins: log odds of a refusal without and, added, with the wording. Without labelled answers they hold as they are.
+PRIOR = (-1.0, 3.5)
 #: Cells of each of the two rows of a count of words; blocks that arrays are summed in; fixed, whatever the corpus.
 CELLS, BLOCKS = 1 << 20, 256
 
@@ -40,7 +46,7 @@ PLACEHOLDERS = {
     "no answer text", "answer goes here", "your answer here", "insert answer here", "no answer provided", "no answer given", "no output", "no response", "no content", "no text",
     "empty answer", "empty string", "leer", "kein text", "keine antwort", "vide", "aucune reponse", "sans texte", "vacio", "sin respuesta", "sin texto", "待补充", "暂无", "空", "无",
 }
-# fixed values: how an answer declines or claims not to know, in the five languages
+# fixed values: how an answer declines or claims not to know, in the five languages; a feature of Refusals
 REFUSING = regex.compile(
     r"""
     \b(?:can(?:no|')t|can\s+not|could(?:n't|\s+not)|unable|not\s+able|won't|will\s+not|would\s+not|decline[sd]?|refuse|rather\s+not|prefer\s+not)\b
@@ -291,21 +297,72 @@ def is_copy(question: str, answer: str) -> bool:
     return common >= 0.72 * len(a) and common >= 0.3 * len(q)
 
 
+class Refusals:
+    """Probability that an answer declines, from word n-grams and the wording above as one feature among them."""
+
+    PIECE = regex.compile(r"\p{Han}|[\p{L}\p{M}]+(?:['’]\p{L}+)?|\p{N}+")
+
+    def __init__(self, known: Frequent):
+        self.known, self.base, self.worded, self.weights = known, *PRIOR, np.zeros(TERMS)
+
+    def _terms(self, text: str) -> np.ndarray:
+        import xxhash
+
+        words = ["^"]
+        for w in self.PIECE.findall(text):
+            words.append("#" if w[0].isnumeric() else w.lower() if all(x in self.known for x in words_of(w)) else "X")
+        words.append("$")
+        return np.array(sorted({xxhash.xxh64_intdigest("_".join(words[i : i + n])) % TERMS for n in (1, 2, 3) for i in range(len(words) - n + 1)}))
+
+    def _rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(terms of all texts, text of each, weight of a text's terms, whether the wording is found)."""
+        found = [self._terms(t) for t in texts]
+        many = np.array([len(x) for x in found])
+        return np.concatenate(found), np.repeat(np.arange(len(texts)), many), 1 / np.sqrt(many), np.array([is_refusal(t) for t in texts], dtype=float)
+
+    def fit(self, declining: list[str], others: list[str]) -> Refusals:
+        """Both kinds weigh the same, however many there are. The labels are those of the questions, so a share of them is wrong on both sides."""
+        if not declining or not others:
+            return self
+        terms, row, scale, worded = self._rows(declining + others)
+        n = len(declining) + len(others)
+        y = np.repeat([1.0, 0.0], [len(declining), len(others)])
+        share = np.repeat([0.5 / len(declining), 0.5 / len(others)], [len(declining), len(others)])
+        seen, seen_two = np.full(TERMS, 1e-8), np.full(2, 1e-8)
+        for _ in range(STEPS):
+            z = self.base + self.worded * worded + np.bincount(row, weights=self.weights[terms], minlength=n) * scale
+            error = (1 / (1 + np.exp(-z)) - y) * share
+            g = np.bincount(terms, weights=(error * scale)[row], minlength=TERMS) + SHRINK * self.weights
+            seen += g * g
+            self.weights -= RATE * g / np.sqrt(seen)
+            two = np.array([error.sum(), (error * worded).sum()])
+            seen_two += two * two
+            self.base, self.worded = np.array([self.base, self.worded]) - RATE * two / np.sqrt(seen_two)
+        return self
+
+    def probabilities(self, texts: list[str]) -> np.ndarray:
+        if not texts:
+            return np.zeros(0)
+        terms, row, scale, worded = self._rows(texts)
+        return 1 / (1 + np.exp(-(self.base + self.worded * worded + np.bincount(row, weights=self.weights[terms], minlength=len(texts)) * scale)))
+
+
 class Judge:
-    def __init__(self, languages: Languages, endings: Endings):
-        self.languages, self.endings = languages, endings
+    def __init__(self, languages: Languages, endings: Endings, refusals: Refusals):
+        self.languages, self.endings, self.refusals = languages, endings, refusals
 
     def judge(self, questions: list[str | None], answers: list[list[str | None] | None], abstention: list[bool]) -> list[str | None]:
         """The defect of each pair, None where there is none. Without a question, only empty, refusal and truncated can come out."""
         parts = [[p for p in a or [] if p] for a in answers]
         whole = [" ".join(p) for p in parts]
         ask, say = self.languages.scores([q or "" for q in questions]), self.languages.scores(whole)
+        declines = self.refusals.probabilities(whole) >= 0.5
         out: list[str | None] = []
         for i, (q, p, text) in enumerate(zip(questions, parts, whole)):
             if is_empty(p):
                 out.append("empty")
                 continue
-            if is_refusal(text):
+            if declines[i]:
                 out.append(None if abstention[i] else "refusal")
                 continue
             if q and is_copy(q, text):
@@ -364,7 +421,9 @@ def summed(df: DataFrame, size: int, add) -> np.ndarray:
 
 
 def fit(documents: DataFrame, pairs: DataFrame) -> Judge:
-    """Fit both models: counts over all documents, questions and answers; only the labelled documents are a sample of about DOCUMENTS, by hash of their ids."""
+    """Fit the models: counts over all documents, questions and answers; only labelled rows are samples, by hash of their ids: about DOCUMENTS
+    documents with a language, and LABELLED answers to each kind of question.
+    """
     spark = documents.sparkSession
     label = F.lower(F.substring("lang", 1, 2))
     docs = _taken(documents.where(label.isin(*LANGUAGES) & F.col("text").isNotNull()).select("doc_id", "text", label.alias("lang")), DOCUMENTS, "doc_id")
@@ -391,7 +450,9 @@ def fit(documents: DataFrame, pairs: DataFrame) -> Judge:
         model.add(own, [r.text for r in docs], [1] * len(docs))
         every = summed(texts.select("text", "n"), size, lambda total, batch, shared=shared: shared.value.add(total, batch.column(0).to_pylist(), batch.column(1).to_pylist()))
         model = Languages(known, own + every)
-    return Judge(model, endings)
+    told = pairs.where("answer is not null").select("record_id", F.concat_ws(" ", F.filter("answer", lambda a: F.coalesce(a, F.lit("")) != "")).alias("text"), "abstention").where("text <> ''")
+    sides = [[r.text for r in _taken(told.where(F.col("abstention") == x), LABELLED, "record_id") if not is_empty([r.text])] for x in (True, False)]
+    return Judge(model, endings, Refusals(known).fit(*sides))
 
 
 def defects(documents: DataFrame, samples: DataFrame, outputs: DataFrame) -> DataFrame:

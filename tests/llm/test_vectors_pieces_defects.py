@@ -236,3 +236,43 @@ def test_rows_not_fitted_on(spark):
     share = {k: np.mean([x == ("truncated" if k == "whole" else k) for x in judge.judge(questions, a, [False] * len(rows))]) for k, a in planted.items()}
     print("held out", len(rows), {k: round(float(v), 3) for k, v in share.items()})
     assert share["truncated"] >= 0.75 and share["whole"] <= 0.15 and min(share[k] for k in ("copy", "empty", "other_language")) >= 0.9
+
+
+def test_refusals_beyond_the_wording(spark):
+    """What answers to abstention questions have in common is learnt, also where the wording knows nothing of it."""
+    rng = random.Random(7)
+    name = lambda: "".join(rng.choices("bcdfglmnrst", k=3)) + rng.choice(["ova", "umi", "aro"])
+    fog = lambda: f"That matter of {name().title()} stays in the fog."
+    plain = lambda: rng.choice([f"The box of {name().title()} is in the garage.", f"{name().title()} counted {rng.randint(1, 999)} of them in the garage.", "The matter was renamed on Monday."])
+    assert not defects.is_refusal(fog())
+    rows = [(f"q{i}_abs", fog() if rng.random() < 0.75 else plain(), True) for i in range(300)] + [(f"q{i}", fog() if rng.random() < 0.03 else plain(), False) for i in range(900)]
+    pairs = spark.createDataFrame([("sample", i, "Where is the box?", [t], a) for i, t, a in rows], "record_kind string, record_id string, question string, answer array<string>, abstention boolean")
+    docs = spark.createDataFrame([(1, "the box is in the garage", "en")], "doc_id bigint, text string, lang string")
+    judge = defects.fit(docs, pairs)
+    new = [fog() for _ in range(50)] + [plain() for _ in range(50)] + ["I don't know."]
+    found = judge.refusals.probabilities(new) >= 0.5
+    assert found[:50].all() and not found[50:100].any() and found[100]
+    assert judge.judge(["Where is the box?"] * 2, [[new[0]]] * 2, [False, True]) == ["refusal", None]
+
+
+def test_refusals_on_rows_not_fitted_on(spark):
+    """Without the wording, the n-grams of one half of sf0.1 find nine in ten refusals of the other half and take three in a hundred others for one; with it they agree with it."""
+    d = "/root/testdata/sf0.1"
+    docs, samples, outputs = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "samples", "reader_outputs"))
+    rows = [(sum(map(ord, r.record_id)) % 2, " ".join(a for a in r.answer or [] if a), r.abstention) for r in defects.pairs_of(samples, outputs).collect()]
+    rows = [r for r in rows if r[1] and not defects.is_empty([r[1]])]
+    total = np.zeros(2 * defects.CELLS, np.int64)
+    defects.add_words(total, (set(defects.words_of(t)) for _, t, _ in rows))
+    model = defects.Refusals(defects.Frequent(total, 6)).fit([t for h, t, a in rows if h and a], [t for h, t, a in rows if h and not a])
+    rest = [t for h, t, _ in rows if not h]
+    worded = np.array([defects.is_refusal(t) for t in rest])
+    assert ((model.probabilities(rest) >= 0.5) == worded).mean() >= 0.998
+    blind = defects.Refusals(model.known)
+    blind.worded, real = 0.0, defects.is_refusal
+    try:
+        defects.is_refusal = lambda t: False
+        found = blind.fit([t for h, t, a in rows if h and a], [t for h, t, a in rows if h and not a]).probabilities(rest) >= 0.5
+    finally:
+        defects.is_refusal = real
+    print("refusals without the wording", (found & worded).sum() / worded.sum(), (found & ~worded).sum())
+    assert (found & worded).sum() >= 0.9 * worded.sum() and (found & ~worded).sum() <= 0.03 * len(rest)
