@@ -461,7 +461,8 @@ def defects(documents: DataFrame, samples: DataFrame, outputs: DataFrame) -> Dat
     Null or empty answers, and arrays without a text, are 'empty'. A record delivered again counts once, as first delivered.
     An output whose sample is missing is judged without a question. Whole texts are judged.
     """
-    pairs = materialize(pairs_of(samples, outputs), "defect-pairs")
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # judging costs far more than reading, so pairs are dealt to that many tasks whatever their bytes
+    pairs = materialize(pairs_of(samples, outputs).repartition(n, "record_id"), "defect-pairs")
     shared = documents.sparkSession.sparkContext.broadcast(fit(documents, pairs))  # models of a fixed size
 
     def run(batches):
