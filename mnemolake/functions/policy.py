@@ -155,7 +155,7 @@ def risk(text: Column) -> Column:
 
 def explain(n: int = 5) -> Column:
     """Names of the n largest features, larger first, then by name."""
-    entries = F.array_sort(F.array(*[F.struct((-F.col(f)).alias("o"), F.lit(f).alias("k")) for f in FEATURES]))
+    entries = F.array_sort(F.array(*[F.struct(F.round(-F.col(f), 6).alias("o"), F.lit(f).alias("k")) for f in FEATURES]))
     return F.transform(F.slice(entries, 1, n), lambda e: e["k"])
 
 

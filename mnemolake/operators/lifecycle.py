@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -148,8 +146,3 @@ def blended_redundancy(df: DataFrame, block: int = 512) -> DataFrame:
     spread = _spread(sets.join(some, "question_id", "left_semi"), block)
     best = spread.groupBy("question_id", "x", "y").applyInArrow(compare, _BEST)
     return best.groupBy("question_id", "memory_id").agg(F.max("r").alias("redundancy"))
-
-
-def prefix_size(n: int, t: float) -> int:
-    """Terms of a set of n that must be looked up for similarity t."""
-    return n - math.ceil(round(t * n, 9)) + 1

@@ -176,3 +176,46 @@ def rule_ranker_topk(spark, d):
     bonus = F.lit(0.2) * F.col("contradiction") * F.col("recency") + F.lit(0.1) * F.col("actionability") * F.col("recency")
     f = inputs(spark, d).where("question_id is not null").withColumn("admitted", P.score("retrieve")).where(P.passed("retrieve", F.col("admitted"))).withColumn("score", F.round(F.col("admitted") + bonus, 6))
     return top_k(f, 5, positive=False).select("question_id", "memory_id", F.col("rank_no").cast("bigint").alias("rank_no"))
+
+
+_LISTED = ", ".join(f"{{'o': round(-({f}), 6), 'k': '{f}'}}" for f in P.FEATURES)
+
+
+@query(
+    "policy_explain",
+    f"WITH {_INPUTS} SELECT memory_id, array_to_string(list_transform(list_sort([{_LISTED}])[1:3], lambda e: e.k), ',') AS top, round(sqrt({' + '.join(f'({f}) * ({f})' for f in P.FEATURES)}), 5) AS length FROM inp",
+)
+def policy_explain(spark, d):
+    """The three strongest features of each memory, and the length of its policy vector."""
+    f = inputs(spark, d).withColumn("policy_embedding", P.vector())
+    return f.select("memory_id", F.array_join(P.explain(3), ",").alias("top"), F.round(N.norm(F.col("policy_embedding")), 5).alias("length"))
+
+
+_NEXT = f"""nx AS (SELECT question_id, memory_id, lag(memory_id) OVER w AS before, coalesce(scope, 'global') AS sc, lag(coalesce(scope, 'global')) OVER w AS sc0, {_KIND} AS kind, lag({_KIND}) OVER w AS kind0, {Q.distinct_terms('content')} AS t, lag({Q.distinct_terms('content')}) OVER w AS t0
+ FROM {Q.CHUNKS} c WHERE content IS NOT NULL AND question_id IS NOT NULL WINDOW w AS (PARTITION BY question_id ORDER BY ord, memory_id)),
+ns AS (SELECT *, {Q.jaccard('t', 't0')} AS ct, {Q.jaccard(Q.distinct_terms('sc'), Q.distinct_terms('sc0'))} AS cs, CASE WHEN kind = kind0 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS same FROM nx WHERE before IS NOT NULL),
+nt AS (SELECT ns.*, {Q.clamp('0.8::DOUBLE * ct + 0.1::DOUBLE * cs + same')} AS blended, {Q.clamp('0.65::DOUBLE * ct + 0.25::DOUBLE * CASE WHEN sc = sc0 THEN 1.0::DOUBLE ELSE cs END + same')} AS stored, contradiction FROM ns JOIN ft USING (memory_id))"""
+
+
+@query(
+    "neighbour_similarity",
+    f"WITH {_FEATURES}, {_NEXT} SELECT memory_id, before, round(blended, 6) AS blended, round(stored, 6) AS stored, round(CASE WHEN sc = sc0 AND contradiction >= {P.UPDATE_CONTRADICTION} THEN greatest(stored, 0.8::DOUBLE) ELSE stored END, 6) AS effective FROM nt",
+)
+def neighbour_similarity(spark, d):
+    """How similar each memory is to the one before it in its question: by the features' measure, by the store's, and as an update would see it."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("question_id").orderBy("ord", "memory_id")
+    m = S.chunks(spark, d).where("content is not null and question_id is not null").select("question_id", "memory_id", "ord", F.coalesce("scope", F.lit("global")).alias("sc"), kind().alias("kind"), F.array_distinct(X.terms(F.col("content"))).alias("t"))
+    names = ("memory_id", "sc", "kind", "t")
+    m = m.withColumns({f"{c}0": F.lag(c).over(w) for c in names}).where("memory_id0 is not null").join(features(spark, d).select("memory_id", "contradiction"), "memory_id")
+    words, same, alike = (lambda c: F.array_distinct(X.terms(F.col(c)))), F.col("sc") == F.col("sc0"), F.col("kind") == F.col("kind0")
+    places = F.when(same, F.lit(1.0)).otherwise(X.jaccard(words("sc"), words("sc0")))
+    stored = P.store_similarity(X.jaccard(F.col("t"), F.col("t0")), places, alike)
+    blended = P.memory_similarity(F.col("t"), F.col("t0"), words("sc"), words("sc0"), alike)
+    return m.select("memory_id", F.col("memory_id0").alias("before"), F.round(blended, 6).alias("blended"), F.round(stored, 6).alias("stored"), F.round(P.effective_similarity(stored, same, F.col("contradiction")), 6).alias("effective"))
+
+
+@query("method_names", "SELECT DISTINCT replace(lower(trim(method_name)), '-', '_') AS method_name FROM retrieved WHERE method_name IS NOT NULL")
+def method_names(spark, d):
+    return S.table(spark, d, "retrieved").where("method_name is not null").select(X.adapter_name(F.col("method_name")).alias("method_name")).distinct()

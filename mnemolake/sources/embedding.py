@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mnemolake.functions.text import TERM
@@ -72,10 +72,14 @@ def embed_missing(texts: DataFrame, cache: DataFrame, namespace: str, embedder:
 
 
 class EmbeddingCache:
-    """A Parquet table of vectors by namespace and text; look-ups are joins, misses are embedded and appended."""
+    """A Parquet table of vectors by namespace and text; look-ups are joins, misses are embedded and appended.
+
+    counts: texts found and texts embedded since the cache was opened, each different text of a call once.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, namespace: str, embedder: Embedder):
         self.spark, self.folder, self.namespace, self.embedder = spark, folder, namespace, embedder
+        self.counts = {"hits": 0, "generated": 0}
 
     def table(self) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -83,7 +87,11 @@ class EmbeddingCache:
         return self.spark.read.schema(CACHE).parquet(self.folder) if there else self.spark.createDataFrame([], CACHE)
 
     def fill(self, texts: DataFrame) -> None:
-        embed_missing(texts, self.table(), self.namespace, self.embedder).write.mode("append").parquet(self.folder)
+        asked, new = Observation(), Observation()
+        seen = texts.where("text is not null").select("text").distinct().observe(asked, F.count(F.lit(1)).alias("n"))
+        embed_missing(seen, self.table(), self.namespace, self.embedder).observe(new, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(self.folder)
+        self.counts["generated"] += new.get["n"]
+        self.counts["hits"] += max(0, asked.get["n"] - new.get["n"])
 
     def embed(self, df: DataFrame, text: str = "content") -> DataFrame:
         """df with embedding; null texts have none."""
@@ -92,26 +100,40 @@ class EmbeddingCache:
         return keyed.join(self.table().select(F.col("cache_key").alias("_key"), F.col("vector").alias("embedding")), "_key", "left").drop("_key")
 
 
-#: prompts -> answers
-Reader = Callable[[list[str]], list[str]]
+#: prompts -> answers, or pairs of an answer and a usage report as JSON text
+Reader = Callable[[list[str]], list[str] | list[tuple[str, str | None]]]
 
 
 def answer(prompts: DataFrame, reader: Reader) -> DataFrame:
-    """prompts (question_id, prompt) with prediction, by a reader called once a batch."""
+    """prompts (question_id, prompt) with prediction, usage and token counts, by a reader called once a batch. Counts are the reported ones,
+    estimates where there are none.
+    """
     from mnemolake.functions.text import estimate_tokens
+    from mnemolake.operators.cost import usage_or_estimate
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(reader(b.column(1).to_pylist()), pa.string())], ["question_id", "prompt", "prediction"])
+            told = [x if isinstance(x, tuple) else (x, None) for x in reader(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in told], pa.string()), pa.array([u for _, u in told], pa.string())], ["question_id", "prompt", "prediction", "usage"])
+
+    out = prompts.select("question_id", "prompt").mapInArrow(run, "question_id string, prompt string, prediction string, usage string")
+    counts = {"input": estimate_tokens(F.col("prompt")), "output": estimate_tokens(F.coalesce("prediction", F.lit("")))}
+    return out.withColumns({f"{k}_tokens": usage_or_estimate(F.col("usage"), k, v) for k, v in counts.items()})
+
+
+def http_models(url: str, key: str | None = None, timeout: float = 60.0) -> list[str]:
+    """Names of the models that a service offers at /v1/models."""
+    from urllib.request import Request, urlopen
 
-    out = prompts.select("question_id", "prompt").mapInArrow(run, "question_id string, prompt string, prediction string")
-    return out.withColumns({"input_tokens": estimate_tokens(F.col("prompt")), "output_tokens": estimate_tokens(F.coalesce("prediction", F.lit("")))})
+    head = {"Authorization": f"Bearer {key}"} if key else {}
+    with urlopen(Request(f"{url.rstrip('/')}/v1/models", headers=head), timeout=timeout) as r:
+        return sorted(str(m["id"]) for m in json.load(r).get("data", []))
 
 
 def chat_reader(url: str, model: str, key: str | None = None, retries: int = 3, timeout: float = 120.0) -> Reader:
-    """A chat service that speaks the common /v1/chat/completions protocol; server errors are tried again."""
+    """A chat service that speaks the common /v1/chat/completions protocol, with its usage reports; server errors are tried again."""
 
-    def ask(prompts: list[str]) -> list[str]:
+    def ask(prompts: list[str]) -> list[tuple[str, str | None]]:
         import time
         from urllib.error import HTTPError, URLError
         from urllib.request import Request, urlopen
@@ -123,7 +145,8 @@ def chat_reader(url: str, model: str, key: str | None = None, retries: int = 3,
             for n in range(retries):
                 try:
                     with urlopen(Request(f"{url.rstrip('/')}/v1/chat/completions", body, head), timeout=timeout) as r:
-                        out.append(json.load(r)["choices"][0]["message"]["content"])
+                        got = json.load(r)
+                        out.append((got["choices"][0]["message"]["content"], json.dumps(got["usage"]) if got.get("usage") else None))
                     break
                 except (HTTPError, URLError) as e:
                     if isinstance(e, HTTPError) and e.code < 500 or n + 1 == retries:
@@ -145,6 +168,7 @@ def candidates(events: DataFrame, extractor: Reader, most: int = 5) -> DataFrame
         for b in batches:
             rows = []
             for event, text in zip(b.column(0).to_pylist(), extractor([t or "" for t in b.column(1).to_pylist()])):
+                text = text[0] if isinstance(text, tuple) else text
                 m = re.search(r"[\[{].*[\]}]", text or "", re.S)
                 try:
                     data = json.loads(m[0]) if m else []

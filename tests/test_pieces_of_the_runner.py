@@ -223,3 +223,42 @@ def test_small_functions(spark):
 def test_wide_latex(spark):
     df = spark.createDataFrame([tuple(range(9))], ", ".join(f"c{i} int" for i in range(9)))
     assert "table*" in exports.to_latex(df) and "resizebox" in exports.to_latex(df) and "table*" not in exports.to_latex(df.select("c0"))
+
+
+def test_services(spark, tmp_path):
+    """Models, answers and usage of a service on this machine; what a cache found and what it had to embed."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from mnemolake.sources import embedding
+
+    class Service(BaseHTTPRequestHandler):
+        def _send(self, body):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def do_GET(self):
+            self._send({"data": [{"id": "b"}, {"id": "a"}]})
+
+        def do_POST(self):
+            self.rfile.read(int(self.headers["Content-Length"]))
+            self._send({"choices": [{"message": {"content": "yes"}}], "usage": {"prompt_tokens": 100, "completion_tokens": 3}})
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    prompts = spark.createDataFrame([("q", "what?")], "question_id string, prompt string")
+    assert embedding.http_models(url) == ["a", "b"]
+    r = embedding.answer(prompts, embedding.chat_reader(url, "a")).first()
+    server.shutdown()
+    assert (r.prediction, r.input_tokens, r.output_tokens) == ("yes", 100, 3)
+    assert embedding.answer(prompts, lambda ps: ["yes"] * len(ps)).first().input_tokens == 2
+    cache = embedding.EmbeddingCache(spark, str(tmp_path / "cache"), "n", embedding.hashing_embedder(4))
+    df = spark.createDataFrame([("one",), ("two",), ("one",), (None,)], "content string")
+    cache.embed(df)
+    cache.embed(df)
+    assert cache.counts == {"hits": 2, "generated": 2}
