@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
+from mnemolake.operators import admission as A
 from mnemolake.operators.store import MemoryStore
 
 EVENT = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -50,24 +52,36 @@ def upsert_into(store: MemoryStore, name: str | None = None):
     return write
 
 
-def admissions(events: DataFrame) -> DataFrame:
-    """(scope, event_id, op, memories) of memory events, decided one after another within each scope against the scope's memories
-    so far. The state is the scope's active memories; it lives in the state store and is restored after a failure.
-    """
+class _Admit(StatefulProcessor):
+    """A scope's active memories as a map in the state store: a batch writes the memories it changes, not the scope's whole state."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import json
+    def init(self, handle) -> None:
+        self.memories = handle.getMapState("memories", "id string", "memory string")
 
-        from mnemolake.operators import admission as A
-
-        held = json.loads(state.get[0]) if state.exists else []
-        store = A.Store([A.Memory(**m) for m in held])
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = {k[0]: v[0] for k, v in self.memories.iterator()}
+        store = A.Store([A.Memory(**json.loads(v)) for v in held.values()])
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
         out = []
-        for r in rows.itertuples():
+        for r in events.itertuples():
             op = A.admit(A.Memory(str(r.event_id), r.content or "", scope=key[0]), store, "", key[0])
             out.append((key[0], str(r.event_id), op, len(store.active())))
-        state.update((json.dumps([vars(m) for m in store.active()]),))
+        active = {m.id: json.dumps(vars(m)) for m in store.active()}
+        for i in held.keys() - active.keys():
+            self.memories.removeKey((i,))
+        for i, v in active.items():
+            if held.get(i) != v:
+                self.memories.updateValue((i,), (v,))
         yield pd.DataFrame(out, columns=["scope", "event_id", "op", "memories"])
 
-    return events.where("scope is not null").groupBy("scope").applyInPandasWithState(step, "scope string, event_id string, op string, memories long", "memories string", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def admissions(events: DataFrame) -> DataFrame:
+    """(scope, event_id, op, memories) of memory events, decided one after another within each scope against the scope's memories
+    so far. The state is the scope's active memories; it lives in the state store (RocksDB, which map state needs and which
+    this sets for the session) and is restored after a failure.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return events.where("scope is not null").groupBy("scope").transformWithStateInPandas(_Admit(), "scope string, event_id string, op string, memories long", "append", "none")

@@ -262,3 +262,25 @@ def test_services(spark, tmp_path):
     cache.embed(df)
     cache.embed(df)
     assert cache.counts == {"hits": 2, "generated": 2}
+
+
+def test_admission_over_batches(spark, tmp_path):
+    """Two micro batches, with the state between them, decide as one plain pass over each scope does."""
+    texts = ["Remember: the user must prefer the red report", "Remember: the user must prefer the red report", "the weather", "Now the user must prefer the blue report instead", "A workflow you should always reuse to fix and debug the blue report"]
+    rows = [(f"e{i}", f"2025-01-0{i % 9 + 1}", f"s{i % 2}", texts[i % 5]) for i in range(14)]
+    schema = "event_id string, ts string, scope string, content string"
+    for n in (0, 1):
+        part = [r for r in rows if (r[1] > "2025-01-05") == bool(n)]
+        spark.createDataFrame(part, schema).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+        stream = ingest.event_stream(spark, str(tmp_path / "in/*"), ingest.MEMORY_EVENT, files=1)
+        q = ingest.admissions(stream).writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+    got = {r.event_id: (r.op, r.memories) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {}
+    for scope in ("s0", "s1"):
+        store = A.Store([])
+        for e, _, s, t in sorted((r for r in rows if r[2] == scope), key=lambda r: (r[1], r[0])):
+            op = A.admit(A.Memory(e, t, scope=s), store, "", s)
+            want[e] = (op, len(store.active()))
+    assert got == want and len({op for op, _ in want.values()}) > 1
