@@ -98,15 +98,19 @@ def contributions(spark, d):
     return g.select("memory_id", P.uses(F.col("n")).alias("access_frequency"), (F.col("right") / F.col("n")).alias("success_contribution"), ((F.col("n") - F.col("right")) / F.col("n")).alias("failure_contribution"))
 
 
-def inputs(spark, d):
-    """Features with the inputs that a decision adds: what became of the memory, similarity from redundancy, and whether it is superseded."""
+def inputs(spark, d, used: set[str] | None = None):
+    """Features with the inputs that a decision adds: what became of the memory, similarity from redundancy, and whether it is superseded.
+    used: names that are read, if not all; what takes a join and isn't among them is 0.
+    """
     from .ranking import dated
 
-    f = features(spark, d).join(contributions(spark, d), "memory_id", "left")
-    s = L.superseded(dated(spark, d), 0.55).select("memory_id", F.lit(1.0).alias("superseded"))
-    f = f.join(s, "memory_id", "left")
-    none = ("access_frequency", "success_contribution", "failure_contribution", "superseded")
-    more = {k: F.coalesce(k, F.lit(0.0)) for k in none} | {"source_priority": F.lit(0.8), "similarity": F.col("redundancy")}
+    f = features(spark, d)
+    told = ("access_frequency", "success_contribution", "failure_contribution")
+    if used is None or used & set(told):
+        f = f.join(contributions(spark, d), "memory_id", "left")
+    if used is None or "superseded" in used:
+        f = f.join(L.superseded(dated(spark, d), 0.55).select("memory_id", F.lit(1.0).alias("superseded")), "memory_id", "left")
+    more = {k: F.coalesce(k, F.lit(0.0)) if k in f.columns else F.lit(0.0) for k in (*told, "superseded")} | {"source_priority": F.lit(0.8), "similarity": F.col("redundancy")}
     return f.withColumns(more).withColumn("information_density", P.information_density())
 
 
@@ -144,7 +148,7 @@ def _decision_sql(name: str) -> str:
 def _register(name: str) -> None:
     @query(f"score_{name}", f"WITH {_INPUTS} SELECT memory_id, round({_score_sql(name)}, 9) AS score, {_decision_sql(name)} AS decision FROM inp")
     def plan(spark, d):
-        return inputs(spark, d).select("memory_id", F.round(P.score(name), 9).alias("score"), P.decision(name).alias("decision"))
+        return inputs(spark, d, set(P.SCORES[name][0])).select("memory_id", F.round(P.score(name), 9).alias("score"), P.decision(name).alias("decision"))
 
 
 for _name in P.SCORES:
@@ -159,7 +163,7 @@ def decision_counts(spark, d):
 @query("decision_reasons")
 def decision_reasons(spark, d):
     """The wording of each write decision; formatting differs between engines, so there is no SQL."""
-    return inputs(spark, d).select("memory_id", P.reason("write").alias("reason"), F.array_join(P.top_contributors("write"), ",").alias("up"))
+    return inputs(spark, d, set(P.SCORES["write"][0])).select("memory_id", P.reason("write").alias("reason"), F.array_join(P.top_contributors("write"), ",").alias("up"))
 
 
 _RULE = {k: w for k, w in P.SCORES["retrieve"][0].items()}
@@ -174,7 +178,7 @@ def rule_ranker_topk(spark, d):
     from mnemolake.operators.ranking import top_k
 
     bonus = F.lit(0.2) * F.col("contradiction") * F.col("recency") + F.lit(0.1) * F.col("actionability") * F.col("recency")
-    f = inputs(spark, d).where("question_id is not null").withColumn("admitted", P.score("retrieve")).where(P.passed("retrieve", F.col("admitted"))).withColumn("score", F.round(F.col("admitted") + bonus, 6))
+    f = inputs(spark, d, set(P.SCORES["retrieve"][0])).where("question_id is not null").withColumn("admitted", P.score("retrieve")).where(P.passed("retrieve", F.col("admitted"))).withColumn("score", F.round(F.col("admitted") + bonus, 6))
     return top_k(f, 5, positive=False).select("question_id", "memory_id", F.col("rank_no").cast("bigint").alias("rank_no"))
 
 
