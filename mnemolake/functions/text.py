@@ -180,10 +180,3 @@ def prompt(question: Column, date: Column, evidence: Column) -> Column:
     """Ranked evidence (array of texts) and a question as one prompt."""
     numbered = F.transform(evidence, lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), t))
     return F.concat(F.lit("Memories:\n"), F.array_join(numbered, "\n\n"), F.lit("\n\nDate: "), F.coalesce(date, F.lit("unknown")), F.lit("\nQuestion: "), question, F.lit("\nAnswer:"))
-
-
-def latex(c: Column) -> Column:
-    out = F.replace(c, F.lit("\\"), F.lit("\\textbackslash{}"))
-    for mark in "&%$#_":
-        out = F.replace(out, F.lit(mark), F.lit("\\" + mark))
-    return out

@@ -65,10 +65,10 @@ def matches(scope: str | None = None, status: str | None = None, type: str | Non
     return ok
 
 
-def hydrate(hits: DataFrame, truth: DataFrame, ident: str, by: str) -> tuple[DataFrame, DataFrame]:
+def hydrate(hits: DataFrame, truth: DataFrame, ident: str, *by: str) -> tuple[DataFrame, DataFrame]:
     """(hits found in the source of truth, with rank scores over what was found; hits that are missing there)."""
     found = hits.join(truth, ident)
-    w = Window.partitionBy(by)
+    w = Window.partitionBy(*by)
     scored = found.withColumn("rank_score", F.round(rank_score(F.row_number().over(w.orderBy("rank_no")) - 1, F.count("*").over(w)), 6))
     return scored, hits.join(truth.select(ident), ident, "left_anti")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import replace
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from mnemolake.operators import admission as A
 from mnemolake.operators import learned as N
 from mnemolake.operators import lifecycle as L
 from mnemolake.operators import metrics as M
+from mnemolake.sources import exports
 from mnemolake.sources import tables as S
 
 from . import ranking as P
@@ -21,7 +23,7 @@ from .policy import kind
 from .registry import query
 
 RECORD = "struct<id:string,type:string,scope:string,content:string,summary:string,importance:double,confidence:double,recency:double>"
-RESULT = "sample_id string, system_name string, answer string, retrieved array<string>, ops array<string>, tokens bigint, active bigint, error string"
+RESULT = "sample_id string, system_name string, answer string, retrieved array<string>, ops array<string>, tokens bigint, active bigint, error string, latency_ms double"
 WRITES = ("ADD", "UPDATE", "MERGE", "ARCHIVE", "COMPRESS")
 
 
@@ -46,6 +48,7 @@ def run_systems(samples: DataFrame, systems: list[str], k: int = 3, off: dict[st
             out = []
             for r in batch.to_pylist():
                 name = r["system_name"]
+                began = time.perf_counter()
                 row = {"sample_id": r["sample_id"], "system_name": name, "answer": None, "retrieved": [], "ops": [], "tokens": 0, "active": 0, "error": None}
                 try:
                     hidden = frozenset([off[name]]) if name in off else frozenset()
@@ -53,8 +56,9 @@ def run_systems(samples: DataFrame, systems: list[str], k: int = 3, off: dict[st
                     row |= got
                 except Exception as e:  # recorded as the cell's result
                     row["error"] = f"{type(e).__name__}: {e}"[:200]
+                row["latency_ms"] = (time.perf_counter() - began) * 1000
                 out.append(row)
-            kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.string()]
+            kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.string(), pa.float64()]
             keys = [c.split()[0] for c in RESULT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in zip(keys, kinds)], keys)
 
@@ -138,7 +142,7 @@ def admission_replay(spark, d):
 
 
 #: Rows of each label that a model is fitted on at most, by hash of their ids, and passes over them (the training's default).
-EXAMPLES, EPOCHS = 400, 500
+EXAMPLES, EPOCHS = 150, 500
 
 
 @query("system_summary")
@@ -237,3 +241,9 @@ def failures(scored: DataFrame, most: int = 20) -> DataFrame:
 
 def aggregate_latency(results: DataFrame, column: str = "latency_ms") -> DataFrame:
     return results.groupBy("system_name").agg(*M.latency(column))
+
+
+def report(scored: DataFrame) -> str:
+    """The benchmark as Markdown: means and latencies of each system, and the first failures."""
+    first = ("samples", "error_rate", *SAMPLE_METRICS)
+    return exports.report("Memory policy benchmark", summary(scored).join(aggregate_latency(scored), "system_name").orderBy("system_name"), failures(scored), first)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from mnemolake.operators import cost as C
 from mnemolake.operators import metrics as M
 from mnemolake.operators import splits as P
+from mnemolake.operators.store import hydrate
 from mnemolake.sources import tables as S
 
 from . import sqltext as Q
@@ -93,10 +93,8 @@ def ablation_delta(spark, d):
 
 @query("hydrate_join", f"SELECT method_name, question_id, r.memory_id, rank_no, round(1.0::DOUBLE - (row_number() OVER w - 1)::DOUBLE / count(*) OVER (PARTITION BY method_name, question_id), 6) AS rank_score FROM {Q.RETRIEVED} r JOIN (SELECT memory_id FROM {Q.CHUNKS} c) c USING (memory_id) WINDOW w AS (PARTITION BY method_name, question_id ORDER BY rank_no)")
 def hydrate_join(spark, d):
-    hits = S.retrieved(spark, d).select("method_name", "question_id", "memory_id", "rank_no").join(S.chunks(spark, d).select("memory_id"), "memory_id")
-    w = Window.partitionBy("method_name", "question_id")
-    score = F.lit(1.0) - (F.row_number().over(w.orderBy("rank_no")) - 1) / F.count("*").over(w)
-    return hits.select("method_name", "question_id", "memory_id", "rank_no", F.round(score, 6).alias("rank_score"))
+    found, _ = hydrate(S.retrieved(spark, d).select("method_name", "question_id", "memory_id", "rank_no"), S.chunks(spark, d).select("memory_id"), "memory_id", "method_name", "question_id")
+    return found.select("method_name", "question_id", "memory_id", "rank_no", "rank_score")
 
 
 @query("missing_memories", f"SELECT DISTINCT method_name, memory_id FROM {Q.RETRIEVED} r WHERE memory_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.memory_id = r.memory_id)")

@@ -85,7 +85,14 @@ def cache_hits(spark, d):
     return S.embedding_cache(spark, d).where("text_hash is not null").groupBy("namespace_id").agg(F.count("*").alias("keys"), F.countDistinct("text_hash").alias("distinct_texts"), repeated.alias("repeated"), M.ratio(repeated, F.count("*")).alias("hit_rate"))
 
 
-@query("merge_content")
+@query(
+    "merge_content",
+    f"""WITH r AS (SELECT concat_ws('|', question_id, source_session_id) AS target_id, ord, memory_id, string_split(content, chr(10) || chr(10)) AS ps FROM {Q.CHUNKS} c WHERE content IS NOT NULL AND source_session_id IS NOT NULL),
+    p AS (SELECT target_id, ord, memory_id, n, ps[n] AS p, trim(regexp_replace(ps[n], '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS k FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS n FROM r)),
+    f AS (SELECT * FROM p WHERE length(k) > 0 QUALIFY row_number() OVER (PARTITION BY target_id, k ORDER BY ord, memory_id, n) = 1),
+    t AS (SELECT target_id, string_agg(trim(p), chr(10) || chr(10) ORDER BY ord, memory_id, n) AS content FROM f GROUP BY 1)
+    SELECT target_id, coalesce(content, '') AS content, count(DISTINCT memory_id)::INT AS sources FROM r LEFT JOIN t USING (target_id) GROUP BY ALL""",
+)
 def merge_content(spark, d):
     """The memories of each session merged into its first: paragraphs once, in order."""
     rows = S.chunks(spark, d).where("content is not null and source_session_id is not null").select(

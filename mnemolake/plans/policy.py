@@ -166,9 +166,6 @@ def decision_reasons(spark, d):
     return inputs(spark, d, set(P.SCORES["write"][0])).select("memory_id", P.reason("write").alias("reason"), F.array_join(P.top_contributors("write"), ",").alias("up"))
 
 
-_RULE = {k: w for k, w in P.SCORES["retrieve"][0].items()}
-
-
 @query(
     "rule_ranker_topk",
     f"WITH {_INPUTS}, rr AS (SELECT question_id, memory_id, {_score_sql('retrieve')} AS admitted, round({_score_sql('retrieve')} + 0.2::DOUBLE * contradiction * recency + 0.1::DOUBLE * actionability * recency, 6) AS score FROM inp WHERE question_id IS NOT NULL) SELECT question_id, memory_id, rank_no FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, memory_id)::BIGINT AS rank_no FROM rr WHERE round(admitted, 9) >= 0.05) WHERE rank_no <= 5",

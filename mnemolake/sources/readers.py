@@ -6,11 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TURN = "struct<role:string,content:string,has_answer:boolean>"
-QUESTION = (
-    "question_id string, question_type string, question string, answer array<string>, question_date string, haystack_session_ids array<string>, "
-    f"haystack_dates array<string>, haystack_sessions array<array<{TURN}>>, answer_session_ids array<string>, has_answer boolean"
-)
-
 
 def _first(v: Column, *paths: str, kind: str = "string") -> Column:
     """The first of several fields that is there."""

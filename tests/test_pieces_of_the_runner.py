@@ -141,6 +141,12 @@ def test_replay_agrees_with_single_steps(spark, tiny):
         assert got[r.sample_id] == (*n, out["active"], None)
 
 
+def test_benchmark_report(spark, tiny):
+    s = B.memory_samples(spark, tiny).limit(5)
+    page = B.report(B.sample_metrics(B.run_systems(s, ["No-Memory", "rule"]), s))
+    assert page.startswith("# Memory policy benchmark") and "latency_ms_p95" in page and "| rule |" in page and "No memory available." in page
+
+
 def test_store_audits_and_batches(spark, tmp_path):
     s = MemoryStore(spark, str(tmp_path / "a"), embedder=lambda ts: [[float(len(t)), 1.0] for t in ts])
     new = lambda *rows: spark.createDataFrame(list(rows), "id string, type string, scope string, content string, content_embedding array<double>")
