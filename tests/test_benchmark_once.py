@@ -28,3 +28,8 @@ def test_contents_are_read_once():
     for query in ("red", "blue"):
         f = A.features(A.Memory("a", "Today you must fix the stale token instead"), [], query, "p")
     assert A.traits.cache_info().misses == 1 and f["privacy_risk"] == 0.9 and f["staleness"] == 0.75 and f["actionability"] == pytest.approx(0.65)
+
+
+def test_summary_makes_samples_once(spark, tiny):
+    p = plan(all_queries()[0]["system_summary"](spark, tiny))
+    assert p.count("MapInArrow") == 1 and "chunks.parquet" not in p
