@@ -85,3 +85,20 @@ def test_systems_share_what_they_compare(monkeypatch):
     assert looks == [m.id for m in candidates]
     assert [type(x).__name__ for x, _ in got][-3:] == ["ValueError", "dict", "ValueError"] and all(s > 0 for _, s in got)
     assert got[6][0] == A.run("rule", "red report", initial, candidates, "p q", set())
+
+
+def test_decisions_are_those_of_the_replay(spark, tiny):
+    """Labels are told without comparing, and only chosen examples get their features."""
+    s = B.materialize(B.memory_samples(spark, tiny), "decisions")
+    every = {(r.sample_id, r.stage, r.memory_id): (r.label, r["values"]) for r in B._labelled(s).collect()}
+    assert {(r.sample_id, r.stage, r.memory_id): r.label for r in B._decisions(s).collect()} == {k: v[0] for k, v in every.items()}
+    some = frozenset(sorted(every)[::7])
+    assert {(r.sample_id, r.stage, r.memory_id): (r.label, r["values"]) for r in B._labelled(s, some).collect()} == {k: every[k] for k in some}
+
+
+def test_summary_compares_only_chosen_samples(spark, tiny, monkeypatch):
+    asked, labelled = [], B._labelled
+    monkeypatch.setattr(B, "_labelled", lambda s, only=None: asked.append(only) or labelled(s, only))
+    assert B.system_summary(spark, tiny).count() == 8
+    (only,) = asked
+    assert only and max(len([k for k in only if k[1] == stage]) for stage in ("candidate", "archive", "retrieval")) <= 4 * B.EXAMPLES
